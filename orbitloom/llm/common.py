@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy step takes at a time; only a single longer text makes a larger step.
 STEP_BYTES = 1 << 20
@@ -54,6 +55,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def wider(df: DataFrame, **kinds: str) -> StructType:
+    """The schema of df with further columns."""
+    extra = StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in kinds.items()))
+    return StructType([*df.schema.fields, *extra.fields])
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string column without copying; a null has no bytes."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
