@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-GROUPS = 32
+GROUPS = 128
 #: Sizes up to this factor apart share the same bands.
 CLASS_RATIO = 1.5
 #: Ids of candidates that may be broadcast (8 bytes each); more are joined by a shuffle.
