@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 from . import common
 
 PIECE_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 300_000
+CACHE = 600_000
 MARK = "▁"
 #: Score of a byte piece, each.
 BYTE_SCORE = -1e6
+_NONE = float("-inf")
 _STRETCH = re.compile(" *[^ ]+| +")
 
 
@@ -52,54 +54,66 @@ class Pieces:
             if model.is_byte(i):
                 value = int(model.id_to_piece(i)[3:5], 16)
                 self.byte[value], self.out[i] = i, bytes([value])
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self)
+        self.length = np.array([len(x) for x in self.out], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.blob = np.frombuffer(b"".join(self.out), np.uint8)
 
     def path(self, stretch: str) -> list[int]:
         """Ids of the best path; of equal ones, that whose last piece is longest, at each position."""
         n = len(stretch)
-        best, back = [0.0] + [None] * n, [None] * (n + 1)
-        ends: list[list] = [[] for _ in range(n)]
-        for end, piece in self.machine.iter(stretch):
-            ends[end].append(piece)
-        for end in range(n):
-            here = None
-            for length, score, i in ends[end]:
-                total = best[end + 1 - length] + score
-                if here is None or total > here or (total == here and length > back[end + 1][0]):
-                    here, back[end + 1] = total, (length, i)
-            if here is None:
-                here, back[end + 1] = best[end] + BYTE_SCORE * len(stretch[end].encode()), (1, None)
-            best[end + 1] = here
+        best, back = [0.0] + [_NONE] * n, [(1, -1)] * (n + 1)
+        at = 0  # positions up to here have their best score
+        for end, (length, score, i) in self.machine.iter(stretch):  # by end; pieces of one end from long to short
+            while at < end:
+                at += 1
+                if best[at] == _NONE:
+                    best[at] = best[at - 1] + BYTE_SCORE * len(stretch[at - 1].encode())
+            total = best[end + 1 - length] + score
+            if total > best[end + 1]:
+                best[end + 1], back[end + 1] = total, (length, i)
         ids, at = [], n
         while at:
             length, i = back[at]
-            ids += [i] if i is not None else [self.byte[b] for b in reversed(stretch[at - 1].encode())]
+            ids += (i,) if i >= 0 else [self.byte[b] for b in reversed(stretch[at - 1].encode())]
             at -= length
         return ids[::-1]
 
     def stretch(self, text: str) -> bytes:
-        got = self.known.get(text)
-        if got is None:
-            marks = text.split(MARK)
-            ids: list[int] = []
-            if len(marks) == 1:
-                ids = self.path(text)
-            else:  # a mark in the text stands for itself and has no piece: the automaton can't cross it
-                for k, part in enumerate(marks):
-                    ids += ([self.byte[b] for b in MARK.encode()] if k else []) + (self.path(part) if part else [])
-            got = np.array(ids, np.uint16).tobytes()
-            if len(text) <= 64:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[text] = got
-        return got
+        ids: list[int] = []
+        for k, part in enumerate(text.split(MARK)):  # a mark in the text stands for itself and has no piece
+            ids += ([self.byte[b] for b in MARK.encode()] if k else []) + (self.path(part) if part else [])
+        return np.array(ids, np.uint16).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as 16-bit numbers."""
-        return b"".join(map(self.stretch, _STRETCH.findall(" " + text))) if text else b""
-
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.out.__getitem__, ids)).decode()[1:] if len(ids) else ""
+        return b"".join(map(self.known.__getitem__, _STRETCH.findall(" " + text))) if text else b""
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 of all texts, counts[k] of the ids each, and their offsets; the space before each text is left out."""
+        length, start = self.length[ids], self.start[ids]
+        first = (np.cumsum(counts) - counts)[counts > 0]
+        length[first] -= 1
+        start[first] += 1
+        ends = np.cumsum(length)
+        data = self.blob[np.repeat(start - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return data, np.r_[0, np.r_[0, ends][np.cumsum(counts)]]
+
+
+class _Known(dict):
+    """Stretches and their ids; emptied when full."""
+
+    def __init__(self, owner: Pieces):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, text: str) -> bytes:
+        got = self.owner.stretch(text)
+        if len(text) <= 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[text] = got
+        return got
 
 
 _loaded: dict[str, Pieces] = {}
@@ -144,8 +158,18 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str = PI
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                texts = [None if x is None else own.decode(x) for x in part.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names)
+                column = part.column(ids)
+                counts = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+                data, offsets = own.decode(np.asarray(column.flatten()).astype(np.int64), counts)
+                texts = pa.StringArray.from_buffers(len(counts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+                try:
+                    texts.validate(full=True)
+                except pa.ArrowInvalid:  # ids that no text has
+                    raw = data.tobytes()
+                    texts = pa.array([raw[a:b].decode(errors="replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
+                if column.null_count:
+                    texts = pc.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names)
 
     return df.mapInArrow(run, common.wider(df, **{out: "string"}))
 
