@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = "b1_event_search"
+from orbitloom.plans import queries
+
+QUERIES: dict = dict(queries.QUERIES)
+SQL: dict = dict(queries.SQL)
+FLAGSHIP = "w2_current_conditions"
