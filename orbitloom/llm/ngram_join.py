@@ -5,8 +5,8 @@ likeness of at least t, the symmetric difference is at most T = floor(smaller si
 distance between their points. Three levels use that:
 
 1. Root level (tiling). The fine groups are dealt into more than T bands. Two points no further apart than T agree
-   exactly in at least one band, so a tile is a band and the counts of its groups, and every linked pair shares a tile.
-   Bands without shingles are left out as long as a set has enough others; else they count as tiles too.
+   exactly in all but T bands, so a tile is a band and the counts of its groups, and every linked pair shares a tile. A
+   set takes the first T + 1 bands that have shingles of it; if it has fewer, all bands, those without shingles too.
 2. Inside a tile, each member is tried against one hub. What is linked to the hub is connected and needs no more pairs.
 3. A tile with members of several components left gets an R-tree (packed by size and counts): nodes hold the
    largest counts, and a pair of nodes is opened only if the sum of the coordinates' minima can reach the overlap that
@@ -69,7 +69,10 @@ def tiles(values: np.ndarray, percent: int) -> np.ndarray:
         low, more = (np.bincount(band, weights=_SPREAD[group, j], minlength=bands).astype(np.uint64) for j in (0, 1))
         key = common.mix(low * np.uint64(0x9E3779B97F4A7C15) + more + np.arange(bands, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
         keep = full > 0
-        if bands - int(keep.sum()) > bands - apart - 1:
+        shown = np.cumsum(keep)
+        if shown[-1] > apart:  # of so many bands with shingles, counted from the first, one must agree
+            keep &= shown <= apart + 1
+        else:
             keep[:] = True
         out.append(key[keep])
     return np.unique(np.concatenate(out))
@@ -92,16 +95,36 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def rows_with_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, number of shingles, id of the set (null if it is empty); one pass, no shuffle."""
+    """doc_id, row_id, number of shingles, their group counts, and the id of the set (null if it is empty); one pass, no shuffle."""
 
     def run(batches):
         for part, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_id(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "set_id"])
+            counts = [np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array(counts, pa.binary())], ["doc_id", "row_id", "n_shingles", "set_id", "counts"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row_id long, n_shingles long, set_id long, counts binary")
+
+
+def rows_with_tiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """tile and set_id; a set that a task has seen before gives no rows again, so copies don't multiply."""
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    def run(batches):
+        seen: set[int] = set()
+        for _, sets in _sets(batches, k):
+            tile, member = [], []
+            for s in sets:
+                if len(s) and (own := _set_id(s)) not in seen:
+                    seen.add(own)
+                    tile.append(tiles(s, percent))
+                    member.append(np.full(len(tile[-1]), own, np.int64))
+            if tile:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tile).view(np.int64)), pa.array(np.concatenate(member))], ["tile", "set_id"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "tile long, set_id long")
 
 
-def _tile_members(points: DataFrame) -> DataFrame:
+def _tile_members(tiled: DataFrame) -> DataFrame:
     """For each tile with several members: the hub (smallest set_id) and the others; wide tells if there are over two.
 
     Tiles with the same members in the same task are given once."""
@@ -114,6 +137,8 @@ def _tile_members(points: DataFrame) -> DataFrame:
         del got
         order = np.lexsort((member, tile))
         tile, member = tile[order], member[order]
+        fresh = np.r_[True, (tile[1:] != tile[:-1]) | (member[1:] != member[:-1])]  # a set comes from each task that has it
+        tile, member = tile[fresh], member[fresh]
         heads = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
         size = np.diff(np.r_[heads, len(tile)])
         sign = np.add.reduceat(common.mix(member.view(np.uint64)), heads) + size.astype(np.uint64)
@@ -130,8 +155,7 @@ def _tile_members(points: DataFrame) -> DataFrame:
             s = slice(at, at + 50_000)
             yield pa.RecordBatch.from_arrays([pa.array(sign[s]), pa.array(hub[s]), pa.array(member[s]), pa.array(wide[s])], ["tile", "hub", "set_id", "wide"])
 
-    exploded = points.select(F.explode("tiles").alias("tile"), "set_id").repartition("tile")
-    return exploded.mapInArrow(run, "tile long, hub long, set_id long, wide boolean")
+    return tiled.repartition("tile").mapInArrow(run, "tile long, hub long, set_id long, wide boolean")
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -264,27 +288,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text, ...); links at percent/100 or more."""
     docs = docs.select("doc_id", "text")
     rows = common.saved(rows_with_sets(docs, k))
-    row_id = F.xxhash64("doc_id", "text").alias("row_id")
-    tagged = docs.select(row_id, F.col("text").cast("string").alias("text"))
-
-    def named(batches):
-        for part, sets in _sets(batches, k):
-            kept = [(i, s) for i, s in enumerate(sets) if len(s)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([_set_id(s) for _, s in kept], pa.int64()),
-                    part.column("row_id").take(pa.array([i for i, _ in kept], pa.int64())),
-                    pa.array([len(s) for _, s in kept], pa.int64()),
-                    pa.array([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes() for _, s in kept], pa.binary()),
-                    _lists([tiles(s, percent) for _, s in kept]),
-                ],
-                ["set_id", "row_id", "size", "counts", "tiles"],
-            )
-
-    points = tagged.mapInArrow(named, "set_id long, row_id long, size long, counts binary, tiles array<long>").dropDuplicates(["set_id"])
-    points = common.saved(points)
-    classes = points.select("set_id", "row_id", "size", "counts")
-    members = common.saved(_tile_members(points))
+    classes = common.saved(rows.filter("set_id is not null").select("set_id", "row_id", F.col("n_shingles").alias("size"), "counts").dropDuplicates(["set_id"]))
+    members = common.saved(_tile_members(rows_with_tiles(docs, k, percent)))
     star = members.filter("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
     first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = common.saved(_verified(common.saved(_bounded(first, classes, percent)), docs, k, percent))
@@ -299,7 +304,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     others = rest.union(_open_pairs(wide, percent)).join(first, ["a", "b"], "left_anti").distinct()
     more = common.saved(_verified(common.saved(_bounded(others, classes, percent)), docs, k, percent))
     labels = components(links.union(more))
-    smallest = rows.filter("set_id is not null").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    smallest = rows.filter("set_id is not null").select("doc_id", "n_shingles", "set_id").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     least = smallest.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     done = smallest.join(least, "label").select("doc_id", "n_shingles", "component_id")
     return done.union(rows.filter("set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
