@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 
 PIECE_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 600_000
+CACHE = 150_000
 MARK = "▁"
 #: Score of a byte piece, each.
 BYTE_SCORE = -1e6
