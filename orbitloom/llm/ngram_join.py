@@ -10,7 +10,9 @@ distance between their points. Three levels use that:
 2. Inside a tile, each member is tried against one hub. What is linked to the hub is connected and needs no more pairs.
 3. A tile with members of several components left gets an R-tree (packed by size and counts): nodes hold the
    largest counts, and a pair of nodes is opened only if the sum of the coordinates' minima can reach the overlap that
-   the threshold needs. Pairs that survive are verified on the whole sets.
+   the threshold needs. Of the pairs that survive, a first pass verifies a spanning forest of each tile, the likeliest
+   pairs first; a second pass goes to tiles with further pairs and verifies those that still join two components. So
+   a group of near copies gives about as many pairs as it has members.
 
 Equal sets are one class from the start, so copies are never paired. Cases: null or empty text and text without words
 have no shingles, are linked with nothing and are their own component; repeated rows fall into one class; a null doc_id
@@ -94,12 +96,27 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """Counts of a set's groups, a byte each if all fit, else four."""
+    counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.int32).tobytes()
+
+
+def _points(packed: list[bytes]) -> np.ndarray:
+    """The counts again, a row for each set."""
+    out = np.empty((len(packed), GROUPS), np.int32)
+    small = np.fromiter((len(p) == GROUPS for p in packed), bool, len(packed))
+    for kind, which in ((np.uint8, small), (np.int32, ~small)):
+        out[which] = np.frombuffer(b"".join(packed[i] for i in np.flatnonzero(which)), kind).reshape(-1, GROUPS)
+    return out
+
+
 def rows_with_sets(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, row_id, number of shingles, their group counts, and the id of the set (null if it is empty); one pass, no shuffle."""
 
     def run(batches):
         for part, sets in _sets(batches, k):
-            counts = [np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes() for s in sets]
+            counts = [_packed(s) for s in sets]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array(counts, pa.binary())], ["doc_id", "row_id", "n_shingles", "set_id", "counts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_id"), F.col("text").cast("string").alias("text"))
@@ -165,7 +182,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, GROUPS) for c in ("counts_a", "counts_b"))
+            a, b = (_points(batch.column(c).to_pylist()) for c in ("counts_a", "counts_b"))
             total = a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64)
             most = np.minimum(a, b).sum(1, dtype=np.int64)
             yield batch.select(["a", "b", "row_a", "row_b"]).filter(pa.array(100 * most >= percent * (total - most)))
@@ -174,6 +191,12 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side["a"], "a").join(side["b"], "b").mapInArrow(run, "a long, b long, row_a long, row_b long")
 
 
+def _located(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) with a row that holds either set."""
+    side = {c: classes.select(F.col("set_id").alias(c), F.col("row_id").alias(f"row_{c}")) for c in "ab"}
+    return pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "row_a", "row_b")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose whole sets are similar enough."""
 
@@ -219,8 +242,8 @@ def _pack(counts: np.ndarray) -> list[np.ndarray]:
     return levels
 
 
-def _tree_pairs(left: np.ndarray, right: np.ndarray, least_left: np.ndarray, least_right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of points whose summed coordinate minima can reach the needed overlap, found by descending both trees.
+def _tree_pairs(left: np.ndarray, right: np.ndarray, least_left: np.ndarray, least_right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of points whose summed coordinate minima can reach the needed overlap, and those sums, found by descending both trees.
 
     Linked sets of sizes m and n overlap in at least percent/(100+percent) * (m+n)."""
     trees = [_pack(left), _pack(right)]
@@ -234,15 +257,14 @@ def _tree_pairs(left: np.ndarray, right: np.ndarray, least_left: np.ndarray, lea
     at = [len(t) - 1 for t in trees]
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while True:
-        keep = []
+        most = np.empty(len(i), np.int64)
         for s in range(0, len(i), 1 << 17):
             a, b = i[s : s + (1 << 17)], j[s : s + (1 << 17)]
-            most = np.minimum(trees[0][at[0]][a], trees[1][at[1]][b]).sum(1, dtype=np.int64)
-            keep.append((100 + percent) * most >= percent * (mins[0][at[0]][a] + mins[1][at[1]][b]))
-        keep = np.concatenate(keep)
+            most[s : s + (1 << 17)] = np.minimum(trees[0][at[0]][a], trees[1][at[1]][b]).sum(1, dtype=np.int64)
+        keep = (100 + percent) * most >= percent * (mins[0][at[0]][i] + mins[1][at[1]][j])
         i, j = i[keep], j[keep]
         if at == [0, 0] or not len(i):
-            return i, j
+            return i, j, most[keep]
         side = 0 if at[0] >= at[1] else 1
         parent, other = (i, j) if side == 0 else (j, i)
         child = (parent[:, None] * LEAF + np.arange(LEAF)).ravel()
@@ -253,35 +275,102 @@ def _tree_pairs(left: np.ndarray, right: np.ndarray, least_left: np.ndarray, lea
         i, j = (child, other) if side == 0 else (other, child)
 
 
-def _open_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components inside the tiles that have several; a tile is taken in pairs of blocks."""
-
-    def run(key, table):
-        frame = table.to_pandas()
-        x, y = (frame[frame["side"] == s] for s in (key[1].as_py(), key[2].as_py()))
-        found = []
-        parts = []
-        for part in (x, y):
-            counts = np.frombuffer(b"".join(part["counts"]), np.int32).reshape(-1, GROUPS)
-            size = part["size"].to_numpy()
-            order = np.lexsort((*counts.T[:4], size))
-            parts.append((counts[order], size[order], part["set_id"].to_numpy()[order], part["label"].to_numpy()[order]))
-        (ca, na, ia, la), (cb, nb, ib, lb) = parts
-        if len(ia) and len(ib):
-            i, j = _tree_pairs(ca, cb, na, nb, percent)
-            differ = la[i] != lb[j]
-            a, b = ia[i[differ]], ib[j[differ]]
-            found = [np.minimum(a, b), np.maximum(a, b)]
-        else:
-            found = [np.zeros(0, np.int64)] * 2
-        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+def _forest(x: np.ndarray, y: np.ndarray, likeness: np.ndarray) -> np.ndarray:
+    """Indices of the edges (x, y) of a spanning forest that prefers likely edges: each part takes its best edge out, until none is left."""
+    nodes, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
+    order = np.argsort(-likeness, kind="stable")
+    x, y = ends[: len(order)][order], ends[len(order) :][order]
+    part, left, chosen = np.arange(len(nodes)), np.arange(len(order)), []
+    while len(left):
+        best = np.full(len(nodes), len(order))
+        for end in (x, y):
+            np.minimum.at(best, part[end[left]], left)
+        picked = np.unique(best[best < len(order)])
+        chosen.append(picked)
+        above = np.arange(len(nodes))
+        for one, two in zip(part[x[picked]].tolist(), part[y[picked]].tolist(), strict=True):
+            while above[one] != one:
+                one = above[one]
+            while above[two] != two:
+                two = above[two]
+            above[max(one, two)] = min(one, two)
+        while (above[above] != above).any():
+            above = above[above]
+        part = above[part]
+        left = left[part[x[left]] != part[y[left]]]
+    return order[np.concatenate(chosen)] if chosen else order
+
+
+def _several(members: DataFrame) -> DataFrame:
+    """Rows (tile, set_id, label) of tiles that hold several components, with the number of the tile's blocks."""
+    found = members.groupBy("tile").agg(F.count_distinct("label").alias("labels"), F.count("*").alias("n")).filter("labels > 1")
+    return members.join(found.select("tile", F.ceil(F.col("n") / BLOCK).alias("blocks")), "tile")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of rows that come sorted by the keys, with the bounds of the groups."""
+
+    def bounds(table: pa.Table) -> np.ndarray:
+        fresh = np.zeros(table.num_rows, bool)
+        fresh[:1] = True
+        for k in keys:
+            values = np.asarray(table.column(k))
+            fresh[1:] |= values[1:] != values[:-1]
+        return np.append(np.flatnonzero(fresh), table.num_rows)
+
+    rest = None
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            cuts = bounds(table)
+            if len(cuts) > 2:
+                yield table.slice(0, cuts[-2]), cuts[:-1]
+            rest = table.slice(cuts[-2])
+    if rest is not None:
+        yield rest, np.array([0, rest.num_rows])
+
+
+def _open_pairs(members: DataFrame, classes: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs (tile, a, b) of different components inside the tiles that have several; a tile is taken in pairs of blocks.
+
+    With forest only the pairs of a spanning forest of each pair of blocks, and a row without a pair if there are more."""
+
+    def run(batches):
+        for table, cuts in _whole_groups(batches, ["tile", "one", "two"]):
+            counts = _points(table.column("counts").to_pylist())
+            tile, one, two, side, own, size, label = (np.asarray(table.column(c)) for c in ("tile", "one", "two", "side", "set_id", "size", "label"))
+            found, unfinished = [], []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                order = lo + np.lexsort((own[lo:hi], *counts[lo:hi, :4].T, size[lo:hi]))
+                left = order[side[order] == one[lo]]
+                right = left if one[lo] == two[lo] else order[side[order] == two[lo]]
+                if not len(left) or not len(right):
+                    continue
+                i, j, most = _tree_pairs(counts[left], counts[right], size[left], size[right], percent)
+                i, j = left[i], right[j]
+                differ = label[i] != label[j]
+                if one[lo] == two[lo]:
+                    differ &= i < j
+                i, j, most = i[differ], j[differ], most[differ]
+                if forest and len(i) > 1:
+                    taken = _forest(label[i], label[j], most / (size[i] + size[j] - most))
+                    if len(taken) < len(i):
+                        unfinished.append(tile[lo])
+                    i, j = i[taken], j[taken]
+                if len(i):
+                    found.append((i, j))
+            none = [None] * len(unfinished)
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (cuts[:0], cuts[:0])
+            a, b = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
+            tiles_ = pa.array(np.concatenate([tile[i], np.array(unfinished, np.int64)]), pa.int64())
+            yield pa.RecordBatch.from_arrays([tiles_, *(pa.concat_arrays([pa.array(x, pa.int64()), pa.array(none, pa.int64())]) for x in (a, b))], ["tile", "a", "b"])
 
-    several = members.groupBy("tile").agg(F.countDistinct("label").alias("labels"), F.count("*").alias("n")).filter("labels > 1").select("tile", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     side = F.pmod(F.xxhash64("set_id"), F.col("blocks")).alias("side")
-    dealt = members.join(several, "tile").select("tile", "set_id", "label", "size", "counts", "blocks", side)
+    dealt = _several(members).join(classes.select("set_id", "size", "counts"), "set_id").select("tile", "set_id", "label", "size", "counts", "blocks", side)
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     blocks = pairs.withColumns({"one": F.least("side", "other"), "two": F.greatest("side", "other")})
-    return blocks.select("tile", "one", "two", "side", "set_id", "label", "size", "counts").groupBy("tile", "one", "two").applyInArrow(run, "a long, b long").distinct()
+    return blocks.select("tile", "one", "two", "side", "set_id", "label", "size", "counts").repartition("tile", "one", "two").sortWithinPartitions("tile", "one", "two").mapInArrow(run, "tile long, a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -293,17 +382,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     star = members.filter("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
     first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = common.saved(_verified(common.saved(_bounded(first, classes, percent)), docs, k, percent))
-    labels = components(links)
 
-    def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
+    def labelled(df: DataFrame, labels: DataFrame, column: str, name: str = "label") -> DataFrame:
         known = labels.select(F.col("set_id").alias(column), F.col("label").alias("known"))
         return df.join(known, column, "left").withColumn(name, F.coalesce("known", column)).drop("known")
 
-    rest = labelled(labelled(star, "a", "label_a"), "b", "label_b").filter("label_a <> label_b").select("a", "b")
-    wide = labelled(members.filter("wide").select("tile", "set_id").distinct(), "set_id", "label").join(classes.select("set_id", "size", "counts"), "set_id")
-    others = rest.union(_open_pairs(wide, percent)).join(first, ["a", "b"], "left_anti").distinct()
-    more = common.saved(_verified(common.saved(_bounded(others, classes, percent)), docs, k, percent))
-    labels = components(links.union(more))
+    labels = components(links)
+    tried = first
+    twos = members.filter("not wide and set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    twos = labelled(labelled(twos, labels, "a", "label_a"), labels, "b", "label_b").filter("label_a <> label_b").select("a", "b")
+    wide = members.filter("wide").select("tile", "set_id").distinct()
+    found = common.saved(_open_pairs(labelled(wide, labels, "set_id"), classes, percent, True))
+    likely = found.filter("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    new = common.saved(_bounded(twos, classes, percent).union(_located(likely, classes)).distinct())
+    links = common.saved(links.union(_verified(new, docs, k, percent)))
+    tried = tried.union(new.select("a", "b"))
+
+    labels = components(links)
+    unfinished = wide.join(found.filter("a is null").select("tile").distinct(), "tile", "left_semi")
+    rest = _open_pairs(labelled(unfinished, labels, "set_id"), classes, percent, False).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    links = links.union(common.saved(_verified(common.saved(_located(rest, classes)), docs, k, percent)))
+    labels = components(links)
     smallest = rows.filter("set_id is not null").select("doc_id", "n_shingles", "set_id").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     least = smallest.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     done = smallest.join(least, "label").select("doc_id", "n_shingles", "component_id")
