@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from orbitloom.plans import queries
+from orbitloom.plans import fleet_queries, queries
 
-QUERIES: dict = dict(queries.QUERIES)
-SQL: dict = dict(queries.SQL)
+QUERIES: dict = queries.QUERIES | fleet_queries.QUERIES
+SQL: dict = queries.SQL | fleet_queries.SQL
 FLAGSHIP = "w2_current_conditions"
