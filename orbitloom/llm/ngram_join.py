@@ -123,8 +123,14 @@ def rows_with_sets(docs: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row_id long, n_shingles long, set_id long, counts binary")
 
 
-def rows_with_tiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """tile and set_id; a set that a task has seen before gives no rows again, so copies don't multiply."""
+def _with_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of docs whose row_id is in the table wanted; its ids are broadcast only if there are few."""
+    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    return docs.select(F.xxhash64("doc_id", "text").alias("row_id"), F.col("text").cast("string").alias("text")).join(ids, "row_id", "left_semi").select("text")
+
+
+def rows_with_tiles(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """tile and set_id of the row that stands for each class, so copies give no tiles; a set that a task has seen before gives none again."""
 
     def run(batches):
         seen: set[int] = set()
@@ -138,7 +144,7 @@ def rows_with_tiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
             if tile:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tile).view(np.int64)), pa.array(np.concatenate(member))], ["tile", "set_id"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "tile long, set_id long")
+    return _with_rows(docs, classes.select("row_id")).mapInArrow(run, "tile long, set_id long")
 
 
 def _tile_members(tiled: DataFrame) -> DataFrame:
@@ -207,9 +213,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), _lists([sets[i] for i in keep])], ["set_id", "values"])
 
     wanted = common.saved(pairs.select(F.explode(F.array("row_a", "row_b")).alias("row_id")).distinct())
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    some = docs.select(F.xxhash64("doc_id", "text").alias("row_id"), F.col("text").cast("string").alias("text")).join(ids, "row_id", "left_semi").select("text")
-    sets = some.mapInArrow(sets_of, "set_id long, values array<long>").dropDuplicates(["set_id"])
+    sets = _with_rows(docs, wanted).mapInArrow(sets_of, "set_id long, values array<long>").dropDuplicates(["set_id"])
     with_a = pairs.select("a", "b").join(sets.select(F.col("set_id").alias("a"), F.col("values").alias("values_a")), "a")
     both = with_a.join(sets.select(F.col("set_id").alias("b"), F.col("values").alias("values_b")), "b")
     shared = F.size(F.array_intersect("values_a", "values_b"))
@@ -378,7 +382,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     docs = docs.select("doc_id", "text")
     rows = common.saved(rows_with_sets(docs, k))
     classes = common.saved(rows.filter("set_id is not null").select("set_id", "row_id", F.col("n_shingles").alias("size"), "counts").dropDuplicates(["set_id"]))
-    members = common.saved(_tile_members(rows_with_tiles(docs, k, percent)))
+    members = common.saved(_tile_members(rows_with_tiles(docs, classes, k, percent)))
     star = members.filter("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
     first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = common.saved(_verified(common.saved(_bounded(first, classes, percent)), docs, k, percent))
