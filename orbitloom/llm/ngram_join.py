@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,9 +123,8 @@ def rows_with_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _with_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts of docs whose row_id is in the table wanted; its ids are broadcast only if there are few."""
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    return docs.select(F.xxhash64("doc_id", "text").alias("row_id"), F.col("text").cast("string").alias("text")).join(ids, "row_id", "left_semi").select("text")
+    """The texts of docs whose row_id is in the table wanted."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("row_id"), F.col("text").cast("string").alias("text")).join(wanted, "row_id", "left_semi").select("text")
 
 
 def rows_with_tiles(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -213,7 +211,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), _lists([sets[i] for i in keep])], ["set_id", "values"])
 
     wanted = common.saved(pairs.select(F.explode(F.array("row_a", "row_b")).alias("row_id")).distinct())
-    sets = _with_rows(docs, wanted).mapInArrow(sets_of, "set_id long, values array<long>").dropDuplicates(["set_id"])
+    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    sets = _with_rows(docs, ids).mapInArrow(sets_of, "set_id long, values array<long>").dropDuplicates(["set_id"])
     with_a = pairs.select("a", "b").join(sets.select(F.col("set_id").alias("a"), F.col("values").alias("values_a")), "a")
     both = with_a.join(sets.select(F.col("set_id").alias("b"), F.col("values").alias("values_b")), "b")
     shared = F.size(F.array_intersect("values_a", "values_b"))
@@ -237,6 +236,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _labelled(df: DataFrame, labels: list[DataFrame], column: str, name: str = "label") -> DataFrame:
+    """df with the component so far of a column of set ids: each table of labels maps what the one before gave; without a label, itself."""
+    df = df.withColumn(name, F.col(column))
+    for table in labels:
+        known = table.select(F.col("set_id").alias(name), F.col("label").alias("known"))
+        df = df.join(known, name, "left").withColumn(name, F.coalesce("known", name)).drop("known")
+    return df
+
+
+def _merged(links: DataFrame, labels: list[DataFrame]) -> list[DataFrame]:
+    """labels and one table more, of the components that further links join; only links between components are looked at."""
+    ends = _labelled(_labelled(links, labels, "a", "label_a"), labels, "b", "label_b").filter("label_a <> label_b")
+    return [*labels, components(ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))]
+
+
 def _pack(counts: np.ndarray) -> list[np.ndarray]:
     """R-tree by packing: the order of the points by size and leading counts, cut into leaves; each level's largest counts."""
     levels = [counts]
@@ -385,29 +399,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     members = common.saved(_tile_members(rows_with_tiles(docs, classes, k, percent)))
     star = members.filter("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
     first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = common.saved(_verified(common.saved(_bounded(first, classes, percent)), docs, k, percent))
-
-    def labelled(df: DataFrame, labels: DataFrame, column: str, name: str = "label") -> DataFrame:
-        known = labels.select(F.col("set_id").alias(column), F.col("label").alias("known"))
-        return df.join(known, column, "left").withColumn(name, F.coalesce("known", column)).drop("known")
+    labels = _merged(common.saved(_verified(common.saved(_bounded(first, classes, percent)), docs, k, percent)), [])
 
-    labels = components(links)
-    tried = first
     twos = members.filter("not wide and set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    twos = labelled(labelled(twos, labels, "a", "label_a"), labels, "b", "label_b").filter("label_a <> label_b").select("a", "b")
+    twos = _labelled(_labelled(twos, labels, "a", "label_a"), labels, "b", "label_b").filter("label_a <> label_b").select("a", "b")
     wide = members.filter("wide").select("tile", "set_id").distinct()
-    found = common.saved(_open_pairs(labelled(wide, labels, "set_id"), classes, percent, True))
-    likely = found.filter("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    found = common.saved(_open_pairs(_labelled(wide, labels, "set_id"), classes, percent, True))
+    likely = found.filter("a is not null").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     new = common.saved(_bounded(twos, classes, percent).union(_located(likely, classes)).distinct())
-    links = common.saved(links.union(_verified(new, docs, k, percent)))
-    tried = tried.union(new.select("a", "b"))
+    labels = _merged(common.saved(_verified(new, docs, k, percent)), labels)
 
-    labels = components(links)
+    tried = first.union(new.select("a", "b"))
     unfinished = wide.join(found.filter("a is null").select("tile").distinct(), "tile", "left_semi")
-    rest = _open_pairs(labelled(unfinished, labels, "set_id"), classes, percent, False).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.union(common.saved(_verified(common.saved(_located(rest, classes)), docs, k, percent)))
-    labels = components(links)
-    smallest = rows.filter("set_id is not null").select("doc_id", "n_shingles", "set_id").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    rest = _open_pairs(_labelled(unfinished, labels, "set_id"), classes, percent, False).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    labels = _merged(common.saved(_verified(common.saved(_located(rest, classes)), docs, k, percent)), labels)
+    smallest = _labelled(rows.filter("set_id is not null").select("doc_id", "n_shingles", "set_id"), labels, "set_id")
     least = smallest.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     done = smallest.join(least, "label").select("doc_id", "n_shingles", "component_id")
     return done.union(rows.filter("set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
