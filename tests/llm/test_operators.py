@@ -119,6 +119,22 @@ def test_op2(spark, docs, odd):
     assert found == want
 
 
+@pytest.mark.parametrize("size,hot,length", [(400, 0.34, 40), (400, 0.9, 40), (400, 0.9, 15), (3, 0.3, 40)])
+def test_op2_hot_edited_copies(spark, size, hot, length):
+    """However many documents hold an edited copy of an item, all of them are found."""
+    rng = random.Random(3)
+    item = [f"q{i}" for i in range(length)]
+    edited = [f"z{i}" if i % 10 == 5 else w for i, w in enumerate(item)]
+    rows = []
+    for i in range(size):
+        filler = [f"f{rng.randrange(10**9)}" for _ in range(60)]
+        rows.append((i, " ".join(filler[:i % 50] + (edited if i <= hot * size else []) + filler[i % 50 :])))
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    want = [(i, 7) for i in range(size) if i <= hot * size]
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, items).collect()) == want
+    assert decontamination.clean(docs, items).count() == size - len(want)
+
+
 def test_op2_common_words():
     rng = np.random.default_rng(1)
     for _ in range(50):
