@@ -17,7 +17,7 @@ from . import common
 
 WORDS = 5
 #: One hash in so many is kept.
-SCALE = 16
+SCALE = 2
 _BELOW = -(1 << 63) + (1 << 64) // SCALE
 
 
