@@ -267,6 +267,16 @@ def a10_sidereal_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread.select("bin", F.round("reference", 6).alias("reference"), F.round("mad", 6).alias("mad"), "cycles")
 
 
+@query("with c as (select cast(floor(event_id * 977 / 86164.0) as bigint) as cycle, cast(floor((event_id * 977 % 86164) / 300.0) as bigint) as bin, value from events), m as (select bin, cycle, cast(floor(avg(value) + 0.5) as bigint) as level, row_number() over (partition by bin order by cycle) as i from c group by 1, 2), h as (select a.bin, a.cycle, b.level from m a join m b on a.bin = b.bin and b.i between a.i - 8 and a.i - 1), r as (select *, row_number() over (partition by bin, cycle order by level) as i, count(*) over (partition by bin, cycle) as n from h), e as (select bin, cycle, n, cast(floor((max(level) filter (i = (n + 1) // 2) + max(level) filter (i = n // 2 + 1) + 1) / 2.0) as bigint) as reference from r where n >= 3 group by 1, 2, 3), d as (select bin, cycle, n, reference, abs(level - reference) as apart, row_number() over (partition by bin, cycle order by abs(level - reference)) as i from r join e using (bin, cycle, n)) select bin, cycle, reference, cast(floor((max(apart) filter (i = (n + 1) // 2) + max(apart) filter (i = n // 2 + 1) + 1) / 2.0) as bigint) as mad, n as support from d group by 1, 2, 3, n")
+def a10_sidereal_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cycle, bin_ = G.sidereal_cycle(F.col("event_id") * 977)
+    levels = table(spark, sf_dir, "events").groupBy(bin_.cast("long").alias("bin"), cycle.cast("long").alias("cycle")).agg(F.floor(F.avg("value") + 0.5).alias("level"))
+    middle = "cast(floor((element_at({0}, cast((support + 1) div 2 as int)) + element_at({0}, cast(support div 2 + 1 as int)) + 1) / 2) as bigint)"
+    before = levels.withColumn("history", F.expr("array_sort(collect_list(level) over (partition by bin order by cycle rows between 8 preceding and 1 preceding))"))
+    found = before.withColumn("support", F.size("history").cast("long")).filter("support >= 3").withColumn("reference", F.expr(middle.format("history")))
+    return found.withColumn("apart", F.expr("array_sort(transform(history, x -> abs(x - reference)))")).select("bin", "cycle", "reference", F.expr(middle.format("apart")).alias("mad"), "support")
+
+
 @query("with d as (select distinct session, seq from (select 's' || (user_id % 7) as session, event_id as seq from events union all select 's' || (user_id % 7), event_id from events where event_id % 10 = 0)) select session, count(*) as stored, max(seq) as last_seq from d group by 1")
 def k1_replayed_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     receipts = table(spark, sf_dir, "events").select(F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string")).alias("session"), F.col("event_id").alias("seq"))
