@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy step takes at a time; only a single longer text makes a larger step.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
+#: Bytes of an Arrow batch that a worker is handed.
+BATCH_BYTES = 4 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -24,35 +27,49 @@ _BYTE = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint6
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, by any path that Spark's readers open."""
+    _bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; set here only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset, a local session gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def saved(df: DataFrame) -> DataFrame:
+def _bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of few megabytes, so that a worker never holds many rows of long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def saved(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, so a lost executor costs no recomputation of it."""
     spark = df.sparkSession
+    _bounded_batches(spark)
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the shared folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+class Scratch:
+    """Tables that are needed only until a result is saved."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def clear(self, spark: SparkSession) -> None:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        self.paths = []
 
 
 def wider(df: DataFrame, **kinds: str) -> StructType:
@@ -148,22 +165,28 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 _STEP = [np.uint64(x) for x in np.random.default_rng(77).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]
 
 
-def shingle_sets(words: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's k-word shingles; with fewer words, of the whole sequence as one; without words, none."""
+def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of each text's k-word shingles, one text after the other, and where each text's begin (one more entry).
+
+    With fewer than k words the whole sequence is one shingle; a text without words has none."""
+    counts = np.diff(first)
     n = len(words)
     rolled = np.zeros(max(0, n - k + 1), np.uint64)
-    for j in range(k):
-        rolled += _STEP[j] * words[j : n - k + 1 + j] if n >= k else np.uint64(0)
+    for j in range(k if n >= k else 0):
+        rolled += _STEP[j] * words[j : n - k + 1 + j]
     rolled = mix(rolled)
-    out = []
-    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if hi - lo >= k:
-            out.append(np.unique(rolled[lo : hi - k + 1]))
-        elif hi > lo:
-            short = np.uint64(hi - lo)
-            for j in range(lo, hi):
-                short = mix(short + words[j : j + 1] * _STEP[j - lo])[0]
-            out.append(np.array([short], np.uint64))
-        else:
-            out.append(words[:0])
-    return out
+    of = np.repeat(np.arange(len(counts)), np.maximum(counts - k + 1, 0))
+    starts = np.repeat(first[:-1] - np.concatenate(([0], np.cumsum(np.maximum(counts - k + 1, 0))))[:-1], np.maximum(counts - k + 1, 0))
+    values = rolled[np.arange(len(of)) + starts]
+    few = np.flatnonzero((counts > 0) & (counts < k))
+    if len(few):
+        short = counts[few].astype(np.uint64)
+        for j in range(k - 1):
+            there = counts[few] > j
+            short[there] = mix(short[there] + words[first[few][there] + j] * _STEP[j])
+        values, of = np.concatenate([values, short]), np.concatenate([of, few])
+    order = np.lexsort((values, of))
+    values, of = values[order], of[order]
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
+    return values[fresh], np.searchsorted(of[fresh], np.arange(len(counts) + 1))

@@ -1,21 +1,25 @@
-"""Operator 1: n-gram Jaccard join by a tiled R-tree over count vectors.
-
-A document's shingles are hashed into groups; the counts of the groups are its point. For two sets with a Jaccard
-likeness of at least t, the symmetric difference is at most T = floor(smaller size * (1 - t) / t), and so is the L1
-distance between their points. Three levels use that:
-
-1. Root level (tiling). The fine groups are dealt into more than T bands. Two points no further apart than T agree
-   exactly in all but T bands, so a tile is a band and the counts of its groups, and every linked pair shares a tile. A
-   set takes the first T + 1 bands that have shingles of it; if it has fewer, all bands, those without shingles too.
-2. Inside a tile, each member is tried against one hub. What is linked to the hub is connected and needs no more pairs.
-3. A tile with members of several components left gets an R-tree (packed by size and counts): nodes hold the
-   largest counts, and a pair of nodes is opened only if the sum of the coordinates' minima can reach the overlap that
-   the threshold needs. Of the pairs that survive, a first pass verifies a spanning forest of each tile, the likeliest
-   pairs first; a second pass goes to tiles with further pairs and verifies those that still join two components. So
-   a group of near copies gives about as many pairs as it has members.
-
-Equal sets are one class from the start, so copies are never paired. Cases: null or empty text and text without words
-have no shingles, are linked with nothing and are their own component; repeated rows fall into one class; a null doc_id
+"""Operator 1: n-gram Jaccard join by an R-tree over count vectors, tiled by rare shingles.
+
+A document's shingles are hashed into groups; the counts of the groups are its point. The overlap of two sets is at most the
+sum of the smaller of their two counts over all groups, so a pair (or two nodes of a tree with largest counts) whose sum
+cannot reach the overlap that the threshold needs is dropped. Four levels use that:
+
+1. Root level (tiles). Shingles are ordered by how often they occur (counted for all rows in a table of fixed size, whose
+   collisions only spoil the order, never the result), rare ones first. A set of n shingles that must share m with any
+   partner shares one of its first n - m + 1 with it; each of those is a tile. What many documents repeat comes last in
+   that order and gives no tiles.
+2. Tiles of more than HUB_ABOVE members: each set is tried against the hub (smallest set_id) with which it shares most
+   tiles, if their points allow it. So a large group of near copies is mostly one component before pairs are looked for.
+3. Tiles with members of several components get an R-tree, packed by size and leading counts: pairs of nodes are opened
+   only if the summed minima of COARSE groups can reach the overlap and the nodes hold several components. Pairs of points
+   that survive are bounded again over FINE groups. Of those, a spanning forest of each tile's components is kept, so a
+   group gives about as many pairs as it has members.
+4. Surviving pairs are verified on whole sets of 64-bit shingle hashes. Where one fails, its tiles are searched again
+   without it, until no pair fails; then no link can be missing between two components.
+
+Equal sets are one class from the start, so copies are never paired. A tile of many members is taken in pairs of blocks of
+at most BLOCK members; blocks of one component are not paired with each other. Cases: null or empty text and text without
+words have no shingles, are linked with nothing and are their own component; repeated rows fall into one class; a null doc_id
 is ignored when the smallest id of a component is taken (null if all are); other columns of the input are not looked at;
 an empty table gives an empty table. Hashes of 64 bits stand for shingles and for sets.
 """
@@ -26,172 +30,221 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-GROUPS = 128
-#: Sizes up to this factor apart share the same bands.
-CLASS_RATIO = 1.5
-#: Ids of candidates that may be broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 500_000
-#: Members of an R-tree leaf, and of a block of a tile; larger tiles are compared block by block.
-LEAF, BLOCK = 16, 2048
-_SPREAD = np.random.default_rng(5).integers(1, 1 << 26, (1 << 16, 2), dtype=np.int64)
-
-
-def most_apart(n: int, percent: int) -> int:
-    """Largest symmetric difference of linked sets, the smaller of size n."""
-    return n * (100 - percent) // percent
-
-
-def size_class(n: int) -> tuple[int, int, int]:
-    """Class of a size, the largest size of that class and of the class below."""
-    k, top, below = 0, 1, 0
-    while top < n:
-        k, top, below = k + 1, max(top + 1, int(top * CLASS_RATIO)), top
-    return k, top, below
-
-
-def tiles(values: np.ndarray, percent: int) -> np.ndarray:
-    """Tiles of a set, in its own size class and, if a linked set can be in the class below, in that one."""
-    n = len(values)
-    own, top, below = size_class(n)
-    wanted = [(own, top)] + ([(own - 1, below)] if own and 100 * below >= percent * n else [])
-    group = (values >> np.uint64(8)).astype(np.int64) & 0xFFFF
-    high = (values >> np.uint64(24)).astype(np.uint64)
-    out = []
-    for k, largest in wanted:
-        apart = most_apart(largest, percent)
-        bands = apart + 1 + apart // 4
-        band = (high % np.uint64(bands)).astype(np.int64)
-        full = np.bincount(band, minlength=bands)
-        low, more = (np.bincount(band, weights=_SPREAD[group, j], minlength=bands).astype(np.uint64) for j in (0, 1))
-        key = common.mix(low * np.uint64(0x9E3779B97F4A7C15) + more + np.arange(bands, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
-        keep = full > 0
-        shown = np.cumsum(keep)
-        if shown[-1] > apart:  # of so many bands with shingles, counted from the first, one must agree
-            keep &= shown <= apart + 1
-        else:
-            keep[:] = True
-        out.append(key[keep])
-    return np.unique(np.concatenate(out))
-
-
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+#: Groups of a point, in the tree and for the last bound before verification.
+COARSE, FINE = 64, 1 << 14
+#: Counters of shingle frequencies, in two rows, and how many are shipped at a time.
+COUNTERS, SLICE = 1 << 18, 4096
+#: Members of an R-tree leaf, of a block of a tile, and of one side of a descent.
+LEAF, BLOCK, SIDE = 16, 1024, 256
+#: Tiles with more members get hubs first.
+HUB_ABOVE = 64
+#: Bytes of packed points, or of tokens, that one numpy step takes.
+POINT_BYTES, TOKENS = 1 << 19, 1 << 19
+
+
+def needed(n: np.ndarray, percent: int) -> np.ndarray:
+    """Least overlap of a set of n shingles with any set that is linked to it."""
+    return -(-percent * n // 100)
+
+
+def _runs(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each element between bounds: its list, and its place there."""
+    size = np.diff(bounds)
+    return np.repeat(np.arange(len(size)), size), np.arange(int(bounds[-1])) - np.repeat(bounds[:-1], size)
+
+
+def _ids(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Ids of sets: a hash of their shingles' sum."""
+    running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(common.mix(values), dtype=np.uint64)))
+    return common.mix(running[bounds[1:]] - running[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
+
+
+def packed_points(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Fine points of sets: the ascending groups of their shingles as differences, a byte each (255 adds on to the next)."""
+    of, _ = _runs(bounds)
+    group = ((values >> np.uint64(20)) & np.uint64(FINE - 1)).astype(np.int64)
+    group = np.sort(of * FINE + group) - of * FINE
+    step = np.diff(group, prepend=0)
+    heads = bounds[:-1][np.diff(bounds) > 0]
+    step[heads] = group[heads]
+    ends = np.cumsum(step // 255 + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = step % 255
+    cuts = np.concatenate(([0], ends))[bounds]
+    raw = out.tobytes()
+    return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+class Points:
+    """Points unpacked: counts of COARSE groups, and FINE groups as sorted tokens (a group's repeats are told apart)."""
+
+    def __init__(self, column: pa.Array):
+        data, offsets = common.utf8(column)
+        running = np.cumsum(data, dtype=np.int64)
+        at = np.flatnonzero(data != 255)
+        self.bounds = np.searchsorted(at, offsets)
+        self.of, _ = _runs(self.bounds)
+        before = np.concatenate(([0], running))[offsets[:-1]]
+        group = running[at] - before[self.of]
+        fresh = np.ones(len(group), bool)
+        fresh[1:] = (group[1:] != group[:-1]) | (self.of[1:] != self.of[:-1])
+        heads = np.flatnonzero(fresh)
+        repeat = np.arange(len(group)) - np.repeat(heads, np.diff(np.append(heads, len(group))))
+        self.token = group << 20 | repeat
+        self.size = np.diff(self.bounds)
+        self.coarse = np.bincount(self.of * COARSE + group % COARSE, minlength=len(self.size) * COARSE).reshape(-1, COARSE).astype(np.int32)
+
+    def fits(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Coarse bound on pairs of points."""
+        most = np.empty(len(i), np.int64)
+        for s in range(0, len(i), 1 << 14):
+            cut = slice(s, s + (1 << 14))
+            most[cut] = np.minimum(self.coarse[i[cut]], self.coarse[j[cut]]).sum(1, dtype=np.int64)
+        return (100 + percent) * most >= percent * (self.size[i] + self.size[j])
+
+    def _keys(self, which: np.ndarray) -> np.ndarray:
+        size = self.size[which]
+        pair = np.repeat(np.arange(len(which)), size)
+        at = np.arange(len(pair)) + np.repeat(self.bounds[which] - np.cumsum(size) + size, size)
+        return pair << 35 | self.token[at]
+
+    def fine(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Summed minima over FINE groups of pairs of points."""
+        most = np.zeros(len(i), np.int64)
+        ends = np.cumsum(self.size[i] + self.size[j])
+        lo = 0
+        while lo < len(i):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TOKENS, "right")))
+            keys = np.sort(np.concatenate([self._keys(i[lo:hi]), self._keys(j[lo:hi])]), kind="stable")
+            most[lo:hi] = np.bincount(keys[1:][keys[1:] == keys[:-1]] >> 35, minlength=hi - lo)
+            lo = hi
+        return most
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for part, data, offsets in common.steps(batches):
         words, _, _, first = common.word_hashes(data, offsets)
-        yield part, common.shingle_sets(words, first, k)
-
+        yield part, *common.shingles(words, first, k)
 
-def _set_id(s: np.ndarray) -> int | None:
-    return int(common.mix(common.mix(s).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s)))[0].astype(np.int64)) if len(s) else None
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_id"), F.col("text").cast("string").alias("text"))
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
+def _places(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two counters of each shingle."""
+    return (values & np.uint64(COUNTERS - 1)).astype(np.int64), COUNTERS + ((values >> np.uint64(40)) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
-def _packed(s: np.ndarray) -> bytes:
-    """Counts of a set's groups, a byte each if all fit, else four."""
-    counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    return counts.astype(np.uint8 if counts.max() < 256 else np.int32).tobytes()
 
-
-def _points(packed: list[bytes]) -> np.ndarray:
-    """The counts again, a row for each set."""
-    out = np.empty((len(packed), GROUPS), np.int32)
-    small = np.fromiter((len(p) == GROUPS for p in packed), bool, len(packed))
-    for kind, which in ((np.uint8, small), (np.int32, ~small)):
-        out[which] = np.frombuffer(b"".join(packed[i] for i in np.flatnonzero(which)), kind).reshape(-1, GROUPS)
-    return out
+def _slices(total: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    for s in range(0, len(total), SLICE):
+        part = total[s : s + SLICE]
+        if part.any():
+            yield s // SLICE, part.tobytes()
 
 
-def rows_with_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, row_id, number of shingles, their group counts, and the id of the set (null if it is empty); one pass, no shuffle."""
+def rows_and_counters(docs: DataFrame, k: int) -> DataFrame:
+    """One pass: doc_id, row_id, number of shingles, id of the set (null if empty) and its point, with slice -1; and slices of each task's counters."""
 
     def run(batches):
-        for part, sets in _sets(batches, k):
-            counts = [_packed(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array(counts, pa.binary())], ["doc_id", "row_id", "n_shingles", "set_id", "counts"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row_id long, n_shingles long, set_id long, counts binary")
-
-
-def _with_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts of docs whose row_id is in the table wanted."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("row_id"), F.col("text").cast("string").alias("text")).join(wanted, "row_id", "left_semi").select("text")
-
-
-def rows_with_tiles(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """tile and set_id of the row that stands for each class, so copies give no tiles; a set that a task has seen before gives none again."""
+        total = np.zeros(2 * COUNTERS, np.int32)
+        for part, values, bounds in _sets(batches, k):
+            for place in _places(values):
+                total += np.bincount(place, minlength=2 * COUNTERS).astype(np.int32) if len(place) > COUNTERS // 4 else 0
+                if len(place) <= COUNTERS // 4:
+                    np.add.at(total, place, 1)
+            size = np.diff(bounds)
+            ids = pa.array(_ids(values, bounds), mask=size == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), -1, np.int32)), part.column("doc_id"), part.column("row_id"), pa.array(size.astype(np.int64)), ids, pa.array(packed_points(values, bounds), pa.binary())], names)
+        for at, raw in _slices(total):
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), none, none, none, none, pa.array([raw], pa.binary())], names)
+
+    names = ["slice", "doc_id", "row_id", "n_shingles", "set_id", "point"]
+    return _texts(docs).mapInArrow(run, "slice int, doc_id long, row_id long, n_shingles long, set_id long, point binary")
+
+
+def frequencies(counted: DataFrame) -> np.ndarray:
+    """The counters summed over all tasks: a table of fixed size; sums run as batches pass, first per reader, then per slice."""
+
+    def add(kind):
+        def run(batches):
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for at, raw in zip(batch.column("slice").to_pylist(), batch.column("point"), strict=True):
+                    own = np.frombuffer(raw.as_buffer(), kind)
+                    sums[at] = sums[at] + own if at in sums else own.astype(np.int64)
+            if sums:
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "point"])
+
+        return run
+
+    parts = counted.filter("slice >= 0").select("slice", "point").mapInArrow(add(np.int32), "slice int, point binary").repartition("slice").mapInArrow(add(np.int64), "slice int, point binary")
+    out = np.zeros(2 * COUNTERS, np.int64)
+    for at, raw in parts.collect():
+        out[at * SLICE : (at + 1) * SLICE] = np.frombuffer(raw, np.int64)
+    return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
+
+
+def first_shingles(values: np.ndarray, bounds: np.ndarray, percent: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tiles of sets, and the set of each: as many of their rarest shingles as a linked set cannot miss."""
+    of, place = _runs(bounds)
+    one, two = _places(values)
+    order = np.lexsort((values, np.minimum(counts[one], counts[two]), of))
+    size = np.diff(bounds)
+    keep = place < (size - needed(size, percent) + 1)[of]  # place counts up within each set, in any order of its shingles
+    return values[order][keep], of[keep]
+
+
+def rows_with_tiles(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """tile and set_id of every set; a set that a task has seen before gives none again."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         seen: set[int] = set()
-        for _, sets in _sets(batches, k):
-            tile, member = [], []
-            for s in sets:
-                if len(s) and (own := _set_id(s)) not in seen:
+        for _, values, bounds in _sets(batches, k):
+            ids = _ids(values, bounds)
+            tile, of = first_shingles(values, bounds, percent, shared.value)
+            fresh = np.zeros(len(ids), bool)
+            for i in np.flatnonzero(np.diff(bounds)).tolist():
+                own = int(ids[i])
+                if own not in seen:
                     seen.add(own)
-                    tile.append(tiles(s, percent))
-                    member.append(np.full(len(tile[-1]), own, np.int64))
-            if tile:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tile).view(np.int64)), pa.array(np.concatenate(member))], ["tile", "set_id"])
-
-    return _with_rows(docs, classes.select("row_id")).mapInArrow(run, "tile long, set_id long")
+                    fresh[i] = True
+            keep = fresh[of]
+            yield pa.RecordBatch.from_arrays([pa.array(tile[keep].view(np.int64)), pa.array(ids[of[keep]])], ["tile", "set_id"])
 
+    return _texts(docs).select("text").mapInArrow(run, "tile long, set_id long")
 
-def _tile_members(tiled: DataFrame) -> DataFrame:
-    """For each tile with several members: the hub (smallest set_id) and the others; wide tells if there are over two.
 
-    Tiles with the same members in the same task are given once."""
+def tile_members(tiled: DataFrame) -> DataFrame:
+    """tile, set_id, hub (smallest set_id) and n (members, a set counted again for each task that has it) of the tiles with several members.
 
-    def run(batches):
-        got = [(np.asarray(b.column("tile")), np.asarray(b.column("set_id"))) for b in batches if b.num_rows]
-        if not got:
-            return
-        tile, member = (np.concatenate(x) for x in zip(*got, strict=True))
-        del got
-        order = np.lexsort((member, tile))
-        tile, member = tile[order], member[order]
-        fresh = np.r_[True, (tile[1:] != tile[:-1]) | (member[1:] != member[:-1])]  # a set comes from each task that has it
-        tile, member = tile[fresh], member[fresh]
-        heads = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
-        size = np.diff(np.r_[heads, len(tile)])
-        sign = np.add.reduceat(common.mix(member.view(np.uint64)), heads) + size.astype(np.uint64)
-        several = np.flatnonzero(size > 1)
-        if not len(several):
-            return
-        _, once = np.unique(sign[several], return_index=True)
-        chosen = np.zeros(len(heads), bool)
-        chosen[several[once]] = True
-        keep = np.repeat(chosen, size)
-        hub, wide, sign = np.repeat(member[heads], size)[keep], np.repeat(size > 2, size)[keep], np.repeat(sign.view(np.int64), size)[keep]
-        member = member[keep]
-        for at in range(0, len(member), 50_000):
-            s = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(sign[s]), pa.array(hub[s]), pa.array(member[s]), pa.array(wide[s])], ["tile", "hub", "set_id", "wide"])
-
-    return tiled.repartition("tile").mapInArrow(run, "tile long, hub long, set_id long, wide boolean")
+    Of tiles with the same members one stands for all: its members' ids, hashed, agree in number, ends, parity and sum."""
+    hashed = F.xxhash64("set_id")
+    several = tiled.groupBy("tile").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("last"), F.count("*").alias("n"), F.bit_xor(hashed).alias("parity"), F.sum(hashed.bitwiseAND(0xFFFFFFFF)).alias("total")).filter("hub <> last")
+    once = several.groupBy("hub", "last", "n", "parity", "total").agg(F.min("tile").alias("tile"), F.count("*").alias("tiles"))
+    return tiled.join(once.select("tile", "hub", "n", "tiles"), "tile")
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose summed coordinate minima can reach the overlap that the threshold needs, with both rows."""
+    """Pairs (a, b) whose points allow a link, with a row that holds either set."""
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (_points(batch.column(c).to_pylist()) for c in ("counts_a", "counts_b"))
-            total = a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64)
-            most = np.minimum(a, b).sum(1, dtype=np.int64)
-            yield batch.select(["a", "b", "row_a", "row_b"]).filter(pa.array(100 * most >= percent * (total - most)))
+            if batch.num_rows:
+                n = np.arange(batch.num_rows)
+                both = Points(pa.concat_arrays([batch.column("point_a"), batch.column("point_b")]))
+                keep = (100 + percent) * both.fine(n, n + len(n)) >= percent * (both.size[: len(n)] + both.size[len(n) :])
+                yield batch.select(["a", "b", "row_a", "row_b"]).filter(pa.array(keep))
 
-    side = {c: classes.select(F.col("set_id").alias(c), F.col("counts").alias(f"counts_{c}"), F.col("row_id").alias(f"row_{c}")) for c in "ab"}
+    side = {c: classes.select(F.col("set_id").alias(c), F.col("point").alias(f"point_{c}"), F.col("row_id").alias(f"row_{c}")) for c in "ab"}
     return pairs.join(side["a"], "a").join(side["b"], "b").mapInArrow(run, "a long, b long, row_a long, row_b long")
 
 
@@ -201,36 +254,43 @@ def _located(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "row_a", "row_b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: common.Scratch) -> DataFrame:
     """Pairs whose whole sets are similar enough."""
 
     def sets_of(batches):
-        for part, sets in _sets(batches, k):
-            ids = [_set_id(s) for s in sets]
-            keep = [i for i, s in enumerate(sets) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), _lists([sets[i] for i in keep])], ["set_id", "values"])
-
-    wanted = common.saved(pairs.select(F.explode(F.array("row_a", "row_b")).alias("row_id")).distinct())
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = _with_rows(docs, ids).mapInArrow(sets_of, "set_id long, values array<long>").dropDuplicates(["set_id"])
+        for _, values, bounds in _sets(batches, k):
+            at = np.flatnonzero(np.diff(bounds))
+            raw = values.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(_ids(values, bounds)[at]), pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[at].tolist(), bounds[at + 1].tolist(), strict=True)], pa.binary())], ["set_id", "values"])
+
+    def compare(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("values_a"), batch.column("values_b"), strict=True):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = common.saved(pairs.select(F.explode(F.array("row_a", "row_b")).alias("row_id")).distinct(), scratch)
+    sets = _texts(docs).join(wanted, "row_id", "left_semi").select("text").mapInArrow(sets_of, "set_id long, values binary").dropDuplicates(["set_id"])
     with_a = pairs.select("a", "b").join(sets.select(F.col("set_id").alias("a"), F.col("values").alias("values_a")), "a")
     both = with_a.join(sets.select(F.col("set_id").alias("b"), F.col("values").alias("values_b")), "b")
-    shared = F.size(F.array_intersect("values_a", "values_b"))
-    return both.filter(100 * shared >= percent * (F.size("values_a") + F.size("values_b") - shared)).select("a", "b")
+    return both.mapInArrow(compare, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: common.Scratch | None = None) -> DataFrame:
     """set_id and the smallest set_id reachable from it, for every end of a link; rounds of joins with pointer jumping.
 
     Each round takes the least label over a node's links, then the label of that label; the work of a round is in
     proportion to the links whose ends still have different labels."""
-    edges = common.saved(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = common.saved(edges.groupBy(F.col("a").alias("set_id")).agg(F.least("set_id", F.min("b")).alias("label")))
+    edges = common.saved(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), scratch)
+    labels = common.saved(edges.groupBy(F.col("a").alias("set_id")).agg(F.least("set_id", F.min("b")).alias("label")), scratch)
     while True:
         near = edges.join(labels.select(F.col("set_id").alias("b"), "label"), "b").groupBy(F.col("a").alias("set_id")).agg(F.min("label").alias("near"))
         stepped = labels.join(near, "set_id").select("set_id", "label", F.least("label", "near").alias("new"))
         up = labels.select(F.col("set_id").alias("new"), F.col("label").alias("up"))
-        fresh = common.saved(stepped.join(up, "new", "left").select("set_id", F.least("new", F.coalesce("up", "new")).alias("label"), (F.least("new", F.coalesce("up", "new")) < F.col("label")).alias("moved")))
+        fresh = common.saved(stepped.join(up, "new", "left").select("set_id", F.least("new", F.coalesce("up", "new")).alias("label"), (F.least("new", F.coalesce("up", "new")) < F.col("label")).alias("moved")), scratch)
         labels = fresh.select("set_id", "label")
         if not fresh.filter("moved").limit(1).count():
             return labels
@@ -245,50 +305,48 @@ def _labelled(df: DataFrame, labels: list[DataFrame], column: str, name: str = "
     return df
 
 
-def _merged(links: DataFrame, labels: list[DataFrame]) -> list[DataFrame]:
+def _merged(links: DataFrame, labels: list[DataFrame], scratch: common.Scratch) -> list[DataFrame]:
     """labels and one table more, of the components that further links join; only links between components are looked at."""
     ends = _labelled(_labelled(links, labels, "a", "label_a"), labels, "b", "label_b").filter("label_a <> label_b")
-    return [*labels, components(ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))]
+    return [*labels, components(ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), scratch)]
+
 
+class Tree:
+    """R-tree by packing: points in the order of size and leading counts, cut into leaves; nodes hold largest counts, least sizes and their labels' range."""
 
-def _pack(counts: np.ndarray) -> list[np.ndarray]:
-    """R-tree by packing: the order of the points by size and leading counts, cut into leaves; each level's largest counts."""
-    levels = [counts]
-    while len(levels[-1]) > 1:
-        below = levels[-1]
-        levels.append(np.maximum.reduceat(below, np.arange(0, len(below), LEAF)))
-    return levels
+    def __init__(self, points: Points, which: np.ndarray, label: np.ndarray):
+        self.at = which[np.lexsort((*points.coarse[which, :4].T, points.size[which]))]
+        self.levels = [(points.coarse[self.at], points.size[self.at], label[self.at], label[self.at])]
+        while len(self.levels[-1][0]) > 1:
+            most, least, low, high = self.levels[-1]
+            cuts = np.arange(0, len(most), LEAF)
+            self.levels.append((np.maximum.reduceat(most, cuts), np.minimum.reduceat(least, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)))
 
 
-def _tree_pairs(left: np.ndarray, right: np.ndarray, least_left: np.ndarray, least_right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Indices of points whose summed coordinate minima can reach the needed overlap, and those sums, found by descending both trees.
+def tree_pairs(one: Tree, two: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points of different labels whose summed coordinate minima can reach the needed overlap, found by descending both trees.
 
     Linked sets of sizes m and n overlap in at least percent/(100+percent) * (m+n)."""
-    trees = [_pack(left), _pack(right)]
-    mins = []
-    for tree, least in zip(trees, (least_left, least_right), strict=True):
-        levels = [least]
-        for level in tree[1:]:
-            levels.append(np.minimum.reduceat(levels[-1], np.arange(0, len(levels[-1]), LEAF)))
-            assert len(levels[-1]) == len(level)
-        mins.append(levels)
-    at = [len(t) - 1 for t in trees]
+    trees, at = (one, two), [len(one.levels) - 1, len(two.levels) - 1]
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while True:
+        a, b = trees[0].levels[at[0]], trees[1].levels[at[1]]
+        open_ = ~((a[2][i] == a[3][i]) & (b[2][j] == b[3][j]) & (a[2][i] == b[2][j]))
+        i, j = i[open_], j[open_]
         most = np.empty(len(i), np.int64)
-        for s in range(0, len(i), 1 << 17):
-            a, b = i[s : s + (1 << 17)], j[s : s + (1 << 17)]
-            most[s : s + (1 << 17)] = np.minimum(trees[0][at[0]][a], trees[1][at[1]][b]).sum(1, dtype=np.int64)
-        keep = (100 + percent) * most >= percent * (mins[0][at[0]][i] + mins[1][at[1]][j])
+        for s in range(0, len(i), 1 << 14):
+            x, y = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
+            most[s : s + (1 << 14)] = np.minimum(a[0][x], b[0][y]).sum(1, dtype=np.int64)
+        keep = (100 + percent) * most >= percent * (a[1][i] + b[1][j])
         i, j = i[keep], j[keep]
         if at == [0, 0] or not len(i):
-            return i, j, most[keep]
+            return one.at[i], two.at[j]
         side = 0 if at[0] >= at[1] else 1
         parent, other = (i, j) if side == 0 else (j, i)
         child = (parent[:, None] * LEAF + np.arange(LEAF)).ravel()
         other = np.repeat(other, LEAF)
         at[side] -= 1
-        there = child < len(trees[side][at[side]])
+        there = child < len(trees[side].levels[at[side]][0])
         child, other = child[there], other[there]
         i, j = (child, other) if side == 0 else (other, child)
 
@@ -319,12 +377,6 @@ def _forest(x: np.ndarray, y: np.ndarray, likeness: np.ndarray) -> np.ndarray:
     return order[np.concatenate(chosen)] if chosen else order
 
 
-def _several(members: DataFrame) -> DataFrame:
-    """Rows (tile, set_id, label) of tiles that hold several components, with the number of the tile's blocks."""
-    found = members.groupBy("tile").agg(F.count_distinct("label").alias("labels"), F.count("*").alias("n")).filter("labels > 1")
-    return members.join(found.select("tile", F.ceil(F.col("n") / BLOCK).alias("blocks")), "tile")
-
-
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups of rows that come sorted by the keys, with the bounds of the groups."""
 
@@ -349,82 +401,150 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield rest, np.array([0, rest.num_rows])
 
 
-def _open_pairs(members: DataFrame, classes: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs (tile, a, b) of different components inside the tiles that have several; a tile is taken in pairs of blocks.
+def _leaf_pairs(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows inside groups of at most LEAF rows."""
+    i, j = [], []
+    size = np.diff(cuts)
+    for n in range(2, LEAF + 1):
+        x, y = np.triu_indices(n, 1)
+        heads = cuts[:-1][size == n]
+        i.append((heads[:, None] + x).ravel())
+        j.append((heads[:, None] + y).ravel())
+    return np.concatenate(i), np.concatenate(j)
+
+
+def _forest_of(points: Points, i: np.ndarray, j: np.ndarray, node: np.ndarray, own: np.ndarray, failed: set, percent: int) -> tuple[np.ndarray, ...]:
+    """Of the pairs (i, j): those that the fine bound allows and that have not failed, cut to a spanning forest of their nodes."""
+    most = points.fine(i, j)
+    size = points.size[i] + points.size[j]
+    keep = (100 + percent) * most >= percent * size
+    if failed:
+        keep &= np.fromiter(((a, b) not in failed and (b, a) not in failed for a, b in zip(own[i].tolist(), own[j].tolist(), strict=True)), bool, len(i))
+    i, j, like = i[keep], j[keep], (most / np.maximum(size - most, 1))[keep]
+    taken = _forest(node[i], node[j], like) if len(i) else np.zeros(0, np.int64)
+    return i[taken], j[taken], like[taken]
+
 
-    With forest only the pairs of a spanning forest of each pair of blocks, and a row without a pair if there are more."""
+def open_pairs(members: DataFrame, classes: DataFrame, percent: int, failed: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) that join components inside the tiles (tile, set_id, label) which hold several: a spanning forest of each pair of blocks."""
 
     def run(batches):
         for table, cuts in _whole_groups(batches, ["tile", "one", "two"]):
-            counts = _points(table.column("counts").to_pylist())
-            tile, one, two, side, own, size, label = (np.asarray(table.column(c)) for c in ("tile", "one", "two", "side", "set_id", "size", "label"))
-            found, unfinished = [], []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                order = lo + np.lexsort((own[lo:hi], *counts[lo:hi, :4].T, size[lo:hi]))
-                left = order[side[order] == one[lo]]
-                right = left if one[lo] == two[lo] else order[side[order] == two[lo]]
-                if not len(left) or not len(right):
-                    continue
-                i, j, most = _tree_pairs(counts[left], counts[right], size[left], size[right], percent)
-                i, j = left[i], right[j]
-                differ = label[i] != label[j]
-                if one[lo] == two[lo]:
-                    differ &= i < j
-                i, j, most = i[differ], j[differ], most[differ]
-                if forest and len(i) > 1:
-                    taken = _forest(label[i], label[j], most / (size[i] + size[j] - most))
-                    if len(taken) < len(i):
-                        unfinished.append(tile[lo])
-                    i, j = i[taken], j[taken]
-                if len(i):
-                    found.append((i, j))
-            none = [None] * len(unfinished)
-            i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (cuts[:0], cuts[:0])
-            a, b = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
-            tiles_ = pa.array(np.concatenate([tile[i], np.array(unfinished, np.int64)]), pa.int64())
-            yield pa.RecordBatch.from_arrays([tiles_, *(pa.concat_arrays([pa.array(x, pa.int64()), pa.array(none, pa.int64())]) for x in (a, b))], ["tile", "a", "b"])
-
-    side = F.pmod(F.xxhash64("set_id"), F.col("blocks")).alias("side")
-    dealt = _several(members).join(classes.select("set_id", "size", "counts"), "set_id").select("tile", "set_id", "label", "size", "counts", "blocks", side)
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    blocks = pairs.withColumns({"one": F.least("side", "other"), "two": F.greatest("side", "other")})
-    return blocks.select("tile", "one", "two", "side", "set_id", "label", "size", "counts").repartition("tile", "one", "two").sortWithinPartitions("tile", "one", "two").mapInArrow(run, "tile long, a long, b long")
+            weight = np.cumsum(np.asarray(pc.binary_length(table.column("point").combine_chunks())).astype(np.int64))
+            at = 0
+            while at < len(cuts) - 1:  # whole groups of about POINT_BYTES
+                lo = cuts[at]
+                to = max(at + 1, int(np.searchsorted(weight[cuts[1:] - 1], (weight[lo - 1] if lo else 0) + POINT_BYTES, "right")))
+                yield search(table.slice(lo, cuts[to] - lo).combine_chunks().to_batches()[0], cuts[at : to + 1] - lo)
+                at = to
+
+    def search(part: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
+        points = Points(part.column("point"))
+        one, two, side, own, label = (np.asarray(part.column(c)) for c in ("one", "two", "side", "set_id", "label"))
+        label = np.unique(label, return_inverse=True)[1]
+        failed = {(a, b) for a, list_ in zip(own.tolist(), part.column("failed").to_pylist(), strict=True) for b in list_ or ()} if part.column("failed").null_count < part.num_rows else set()
+        group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        node = np.unique(group * (int(label.max()) + 1) + label, return_inverse=True)[1]
+        i, j = _leaf_pairs(cuts)
+        keep = (label[i] != label[j]) & ((one[i] == two[i]) | (side[i] != side[j]))
+        i, j = i[keep], j[keep]
+        fit = points.fits(i, j, percent)
+        found = [_forest_of(points, i[fit], j[fit], node, own, failed, percent)]
+        for g in np.flatnonzero(np.diff(cuts) > LEAF).tolist():
+            rows = np.arange(cuts[g], cuts[g + 1])
+            left = rows[side[rows] == one[rows[0]]]
+            right = left if one[rows[0]] == two[rows[0]] else rows[side[rows] == two[rows[0]]]
+            if not len(left) or not len(right):
+                continue
+            whole, parts = Tree(points, right, label), []
+            for s in range(0, len(left), SIDE):
+                i, j = tree_pairs(Tree(points, left[s : s + SIDE], label), whole, percent)
+                if left is right:
+                    i, j = i[i < j], j[i < j]
+                parts.append(_forest_of(points, i, j, node, own, failed, percent))
+            i, j, like = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if len(i):  # the forest of all is that of the parts' forests
+                taken = _forest(node[i], node[j], like)
+                found.append((i[taken], j[taken], like[taken]))
+        i, j, _ = (np.concatenate(x) for x in zip(*found, strict=True))
+        pairs = np.unique(np.stack([np.minimum(own[i], own[j]), np.maximum(own[i], own[j])]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    sizes = members.groupBy("tile", "label").agg(F.count("*").alias("n")).groupBy("tile").agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).filter("labels > 1")
+    of_main = F.ceil(F.col("most") / BLOCK)
+    blocks = F.when(F.col("n") <= BLOCK, F.struct(F.lit(0).cast("long").alias("main"), F.lit(1).cast("long").alias("all"))).otherwise(F.struct(of_main.alias("main"), (of_main + F.ceil((F.col("n") - F.col("most")) / BLOCK)).alias("all")))
+    dealt = members.join(sizes.select("tile", F.col("main").alias("main_label"), blocks.alias("blocks")), "tile").join(classes.select("set_id", "point"), "set_id")
+    mine = F.pmod(F.xxhash64("set_id"), F.col("blocks.main"))
+    other = F.col("blocks.main") + F.pmod(F.xxhash64("set_id"), F.col("blocks.all") - F.col("blocks.main"))
+    dealt = dealt.withColumn("side", F.when((F.col("blocks.main") > 0) & (F.col("label") == F.col("main_label")), mine).otherwise(other))
+    # members of the main component meet only the others' blocks
+    first = F.when(F.col("side") < F.col("blocks.main"), F.col("blocks.main")).otherwise(F.lit(0).cast("long"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(first, F.col("blocks.all") - 1))).withColumns({"one": F.least("side", "other"), "two": F.greatest("side", "other")})
+    if failed is None:
+        pairs = pairs.withColumn("failed", F.lit(None).cast("array<bigint>"))
+    else:
+        pairs = pairs.join(failed.groupBy(F.col("a").alias("set_id")).agg(F.collect_set("b").alias("failed")), "set_id", "left")
+    ordered = pairs.select("tile", "one", "two", "side", "set_id", "label", "point", "failed").repartition("tile", "one", "two").sortWithinPartitions("tile", "one", "two")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def labelled_rows(docs: DataFrame, k: int, percent: int, scratch: common.Scratch) -> DataFrame:
+    """doc_id, row_id, n_shingles, set_id and label (one of each component; null without shingles) of every row of docs (doc_id, text, ...)."""
+    docs = docs.select("doc_id", "text")
+    counted = common.saved(rows_and_counters(docs, k), scratch)
+    rows = counted.filter("slice < 0").drop("slice")
+    worded = rows.filter("set_id is not null")
+    classes = common.saved(worded.select("set_id", "row_id", "point").dropDuplicates(["set_id"]), scratch)
+    members = common.saved(tile_members(common.saved(rows_with_tiles(docs, k, percent, frequencies(counted)), scratch)), scratch)
+
+    hubs = members.filter((F.col("n") > HUB_ABOVE) & (F.col("set_id") != F.col("hub"))).groupBy("set_id", "hub").agg(F.sum("tiles").alias("n"))
+    near = hubs.groupBy(F.col("set_id").alias("b")).agg(F.max_by("hub", F.struct("n", "hub")).alias("a")).select("a", "b")
+    labels = _merged(common.saved(_verified(common.saved(_bounded(near, classes, percent), scratch), docs, k, percent, scratch), scratch), [], scratch)
+
+    open_ = members.select("tile", "set_id").distinct()
+    failed = None
+    while True:
+        pairs = common.saved(_located(open_pairs(_labelled(open_, labels, "set_id"), classes, percent, failed), classes), scratch)
+        links = common.saved(_verified(pairs, docs, k, percent, scratch), scratch)
+        labels = _merged(links, labels, scratch)
+        fresh = common.saved(pairs.select("a", "b").join(links, ["a", "b"], "left_anti"), scratch)
+        if not fresh.limit(1).count():
+            break
+        failed = fresh if failed is None else failed.union(fresh)
+        again = members.select("tile", "set_id").join(fresh.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id", "left_semi").select("tile").distinct()
+        open_ = members.select("tile", "set_id").distinct().join(again, "tile", "left_semi")
+    done = _labelled(worded.select("doc_id", "row_id", "n_shingles", "set_id"), labels, "set_id")
+    return done.unionByName(rows.filter("set_id is null").select("doc_id", "row_id", "n_shingles", "set_id", F.lit(None).cast("long").alias("label")))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text, ...); links at percent/100 or more."""
-    docs = docs.select("doc_id", "text")
-    rows = common.saved(rows_with_sets(docs, k))
-    classes = common.saved(rows.filter("set_id is not null").select("set_id", "row_id", F.col("n_shingles").alias("size"), "counts").dropDuplicates(["set_id"]))
-    members = common.saved(_tile_members(rows_with_tiles(docs, classes, k, percent)))
-    star = members.filter("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
-    first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    labels = _merged(common.saved(_verified(common.saved(_bounded(first, classes, percent)), docs, k, percent)), [])
-
-    twos = members.filter("not wide and set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    twos = _labelled(_labelled(twos, labels, "a", "label_a"), labels, "b", "label_b").filter("label_a <> label_b").select("a", "b")
-    wide = members.filter("wide").select("tile", "set_id").distinct()
-    found = common.saved(_open_pairs(_labelled(wide, labels, "set_id"), classes, percent, True))
-    likely = found.filter("a is not null").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    new = common.saved(_bounded(twos, classes, percent).union(_located(likely, classes)).distinct())
-    labels = _merged(common.saved(_verified(new, docs, k, percent)), labels)
-
-    tried = first.union(new.select("a", "b"))
-    unfinished = wide.join(found.filter("a is null").select("tile").distinct(), "tile", "left_semi")
-    rest = _open_pairs(_labelled(unfinished, labels, "set_id"), classes, percent, False).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    labels = _merged(common.saved(_verified(common.saved(_located(rest, classes)), docs, k, percent)), labels)
-    smallest = _labelled(rows.filter("set_id is not null").select("doc_id", "n_shingles", "set_id"), labels, "set_id")
-    least = smallest.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    done = smallest.join(least, "label").select("doc_id", "n_shingles", "component_id")
-    return done.union(rows.filter("set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    scratch = common.Scratch()
+    rows = common.saved(labelled_rows(docs, k, percent, scratch), scratch)
+    worded = rows.filter("label is not null")
+    least = worded.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    done = worded.join(least, "label").select("doc_id", "n_shingles", "component_id")
+    out = common.saved(done.union(rows.filter("label is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
+    scratch.clear(docs.sparkSession)
+    return out
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of docs, one of each component: of the smallest doc_id, repeated rows of it once. Rows without words or without doc_id all stay."""
-    worded = F.coalesce(F.expr(r"rlike(text, '[^\\x20\\x09-\\x0D]')"), F.lit(False)) & F.col("doc_id").isNotNull()
-    first = jaccard_components(docs, k, percent).filter("n_shingles > 0 and doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter(worded).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionAll(docs.filter(~worded))
+    """Rows of docs, one of each component: that of the smallest doc_id (nulls last, then the smallest hash of the row), repeated rows of it once.
+
+    Rows without words all stay."""
+    scratch = common.Scratch()
+    rows = common.saved(labelled_rows(docs, k, percent, scratch).filter("label is not null"), scratch)
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_id")
+    best = rows.groupBy("label").agg(F.min(order).alias("best"), F.count("*").alias("n")).filter("n > 1")
+    among = common.saved(rows.join(best, "label").select("row_id", (F.col("row_id") == F.col("best.row_id")).alias("stays")).groupBy("row_id").agg(F.max("stays").alias("stays"), F.count("*").alias("n")), scratch)
+    dropped = common.saved(among.filter("not stays").select(F.col("row_id").alias("_row_id")))
+    repeated = common.saved(among.filter("stays and n > 1").select(F.col("row_id").alias("_row_id")))
+    scratch.clear(docs.sparkSession)
+    own = F.xxhash64("doc_id", "text")
+    single = docs.join(dropped.union(repeated), own == F.col("_row_id"), "left_anti")
+    once = docs.withColumn("_row_id", own).join(repeated, "_row_id", "left_semi").dropDuplicates(["_row_id"]).select(docs.columns)
+    return single.unionAll(once)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
