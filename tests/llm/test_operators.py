@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -73,17 +74,70 @@ def test_op1(docs, odd, k, percent):
         assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == components(table.collect(), k, percent)
 
 
-def test_op1_tiles_meet():
+def test_op1_first_shingles_meet():
+    """Linked sets share a tile, whatever the counters say."""
     rng = np.random.default_rng(0)
+    counts = rng.integers(0, 50, 2 * ngram_join.COUNTERS).astype(np.uint32)
+    met = 0
     for percent in (80, 90):
         for n in (*range(1, 40), 200, 700):
             a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-            apart = ngram_join.most_apart(n, percent)
+            apart = n * (100 - percent) // percent
             for cut in {0, apart // 2, apart}:
                 b = np.unique(np.concatenate((a[cut // 2 :], rng.integers(0, 1 << 63, cut - cut // 2, dtype=np.uint64))))
                 both = len(np.intersect1d(a, b))
                 if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
-                    assert len(np.intersect1d(ngram_join.tiles(a, percent), ngram_join.tiles(b, percent)))
+                    one, two = (ngram_join.first_shingles(x, np.array([0, len(x)]), percent, counts)[0] for x in (a, b))
+                    assert len(np.intersect1d(one, two))
+                    met += 1
+    assert met > 150
+
+
+def test_op1_bounds_hold():
+    """Coarse and fine sums of minima are never below the overlap, and the tree finds every pair of different labels that a scan finds."""
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(90)] + [np.arange(1, 5000, dtype=np.uint64)]
+    bounds = np.concatenate(([0], np.cumsum(list(map(len, sets)))))
+    points = ngram_join.Points(pa.array(ngram_join.packed_points(np.concatenate(sets), bounds), pa.binary()))
+    assert points.size.tolist() == list(map(len, sets))
+    i, j = np.triu_indices(len(sets), 1)
+    overlap = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    assert (points.fine(i, j) >= overlap).all()
+    label = np.arange(len(sets)) % 7
+    for percent in (30, 60, 80):
+        linked = (100 * overlap >= percent * (points.size[i] + points.size[j] - overlap)) & (label[i] != label[j])
+        tree = ngram_join.Tree(points, np.arange(len(sets)), label)
+        x, y = ngram_join.tree_pairs(tree, tree, percent)
+        assert set(zip(i[linked].tolist(), j[linked].tolist(), strict=True)) <= set(zip(x.tolist(), y.tolist(), strict=True))
+        assert (label[x] != label[y]).all()
+
+
+@pytest.mark.parametrize("block,hub_above", [(8, 4), (40, 10**9)])
+def test_op1_blocks(spark, monkeypatch, block, hub_above):
+    """Many members of one tile in several blocks, some linked and some not."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "HUB_ABOVE", hub_above)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(60)] = f"e{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    want = components([{"doc_id": a, "text": b} for a, b in rows], 3, 90)
+    assert len({w[2] for w in want}) > 5
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == want
+
+
+def test_op1_one_of_each_by_row(spark):
+    """Two texts under one doc_id both stay; repeated rows and copies go, with or without doc_id."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a, "x"), (1, b, "x"), (2, a, "y"), (3, "", "e"), (3, "", "e"), (4, "q w", "r"), (4, "q w", "r"), (None, b, "n"), (None, "z z z", "n"), (None, "z z z", "n")]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, row_id string")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame([rows[0], rows[1], rows[3], rows[4], rows[5], rows[8]], "doc_id long, text string, row_id string").collect()))
 
 
 def test_op1_hot_near_copies(spark):
@@ -135,6 +189,38 @@ def test_op2_hot_edited_copies(spark, size, hot, length):
     assert decontamination.clean(docs, items).count() == size - len(want)
 
 
+def test_op2_paraphrases(spark, docs):
+    """Of edited passages in documents that brute force over all places confirms, at least nine tenths are found, and nothing else."""
+    rng = random.Random(5)
+    items = common.table(spark, "/root/testdata/sf0.01", "benchmark").collect()
+    hosts = [r["text"].split() for r in docs.collect() if r["text"]]
+    rows = []
+    for n in range(250):
+        w, host, other = rng.choice(items)["text"].split(), rng.choice(hosts), rng.choice(hosts)
+        kept = set(rng.sample(range(len(w)), math.ceil(rng.choice([0.62, 0.7, 0.8, 0.9, 1.0]) * len(w))))
+        at = rng.randrange(len(host) + 1)
+        rows.append((n, " ".join(host[:at] + [x if i in kept else rng.choice(other) for i, x in enumerate(w)] + host[at:])))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(table, common.table(spark, "/root/testdata/sf0.01", "benchmark")).collect()}
+    weight = decontamination.weights(*decontamination.document_frequencies(table))
+    hashed = lambda t: common.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
+    passages = [(r["item_id"], p) for r in items for p in decontamination.passages_of(hashed(r["text"]))]
+    want, step = set(), decontamination.STRIDE
+    for doc, text in rows:
+        w = hashed(text)
+        for item, p in passages:
+            own = set(p.tolist())
+            answer = set(list(dict.fromkeys(p[np.argsort(-weight[decontamination._terms(p)], kind="stable")].tolist()))[: decontamination.ANSWER_WORDS])
+            held = np.concatenate(([0], np.cumsum([x in own for x in w.tolist()])))
+            for begin in range(0, len(w), step):
+                lo, hi = max(0, begin - step), min(len(w), begin + decontamination.WINDOW + step)
+                if held[hi] - held[lo] >= decontamination.PARAPHRASE * len(p):
+                    share = decontamination.common_words(p, w[lo:hi]) / len(p)
+                    if share >= decontamination.VERBATIM or (share >= decontamination.PARAPHRASE and len(answer & set(w[lo:hi].tolist())) >= decontamination.ANSWER_SHARE * len(answer)):
+                        want.add((doc, item))
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 150
+
+
 def test_op2_common_words():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -242,7 +328,31 @@ def test_op8(spark, docs, odd):
         assert (model.tokens, model.words) == (n, v)
         want = sorted(((r["doc_id"], len(w), sum(c[x] > 0 for x in w), sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) for r in rows for w in [[*words(r["text"]), "\n"]]), key=str)
         assert [(g[0], g[1], g[2]) for g in got] == [(w[0], w[1], w[2]) for w in want]
-        assert all(abs(g[3] - w[3]) < 1e-6 * (1 + abs(w[3])) and g[4] < 0 for g, w in zip(got, want, strict=True))
+        assert all(abs(g[3] - w[3]) < 1e-6 * (1 + abs(w[3])) for g, w in zip(got, want, strict=True))
+        # the class model by brute force: its probabilities sum to 1, and the scores are theirs
+        words_ = {r["key"]: (r["kind"], r["n"]) for r in counts.collect()}
+        assert sum(n for _, n in words_.values()) == model.tokens and len(words_) == model.words
+        share = [sum(10 ** (model.transition[h, k] + math.log10(n + 0.1) - model.class_total[k]) for k, n in words_.values()) + 10 ** model.unseen[h] for h in range(3)]
+        assert all(abs(x - 1) < 1e-9 for x in share)
+        plain = []
+        for r in rows:
+            raw = (r["text"] or "").encode()
+            word, shape, _ = brown.tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            h = model.class_of[brown._unit_of(np.array([brown.END]), np.zeros(1, np.int64), model.top)[0]]
+            total = 0.0
+            for key, unit in zip(brown._keys(word).tolist(), brown._unit_of(word, shape, model.top).tolist(), strict=True):
+                k, n = words_.get(key, (None, 0))
+                total += model.unseen[h] if k is None else model.transition[h, k] + math.log10(n + 0.1) - model.class_total[k]
+                h = model.class_of[unit]
+            plain.append((r["doc_id"], total))
+        assert all(abs(g[1] - w[1]) < 1e-6 * (1 + abs(w[1])) for g, w in zip(sorted(((g[0], g[4]) for g in got), key=str), sorted(plain, key=str), strict=True))
+    assert sum(g[4] for g in got if g[4] is not None) < 0
+
+
+def test_op8_classes_help(spark):
+    """Held-out texts are likelier under the classes than word by word."""
+    got = queries.QUERIES["op8_brown"](spark, DATA).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert got["sum(score)"] > got["sum(base_score)"]
 
 
 def luhn(d):
