@@ -1,10 +1,10 @@
 """Operator 3 [native]: document fingerprints as threshold-scaled sketches.
 
 Every hash of a 5-word shingle (lower-cased, white space ignored; fewer words: the whole sequence as one) below a fixed
-fraction of the 64-bit range is kept, and the smallest hash always, so that no text with words has an empty sketch.
-Sketches of equal texts are equal; the sketch of a union of shingle sets is the union of the sketches (cut at the same
-threshold, with the smaller least hash), so sketches merge, and containment is estimated without bias between texts of
-very unequal sizes. Cases: a null text is an empty one; texts without words have the empty sketch, and two empty
+fraction of the 64-bit range is kept; where none is below it, the smallest hash stands alone, so that no text with words has
+an empty sketch. Estimates look only at hashes below the threshold, so containment is estimated without bias between texts
+of very unequal sizes; if neither side has one, they are 1 for equal sketches, else 0. Sketches of equal texts are equal, and
+the sketch of a union of shingle sets is merged() from their sketches. Cases: a null text is an empty one; texts without words have the empty sketch, and two empty
 sketches have likeness 1; repeated rows have equal sketches; other columns are not looked at.
 """
 
@@ -29,19 +29,35 @@ def with_sketch(df: DataFrame, text: str, out: str, words: int = WORDS) -> DataF
     rolled = F.transform(F.sequence(F.lit(1), F.size(h) - (words - 1)), lambda i: F.xxhash64(*[F.element_at(F.col(h), i + j) for j in range(words)]))
     none = F.array().cast("array<bigint>")
     df = df.withColumn(s, F.when(F.size(h) >= words, rolled).when(F.size(h) > 0, F.array(F.xxhash64(F.col(h)))).otherwise(none)).drop(h)
-    kept = F.array_sort(F.array_distinct(F.concat(F.filter(F.col(s), lambda x: x < F.lit(_BELOW)), F.array(F.array_min(s)))))
-    return df.withColumn(out, F.when(F.size(s) > 0, kept).otherwise(none)).drop(s)
+    df = df.withColumn(out, F.array_sort(F.array_distinct(_below(F.col(s)))))
+    return df.withColumn(out, F.when((F.size(out) == 0) & (F.size(s) > 0), F.array(F.array_min(s))).otherwise(F.col(out))).drop(s)
+
+
+def _below(sketch: Column) -> Column:
+    return F.filter(sketch, lambda x: x < F.lit(_BELOW))
+
+
+def merged(a: str, b: str) -> Column:
+    """Sketch of the union of the shingle sets behind two sketches."""
+    both = F.array_sort(F.array_union(a, b))
+    kept = _below(both)
+    return F.when(F.size(kept) > 0, kept).otherwise(F.slice(both, 1, 1))
+
+
+def _estimate(a: str, b: str, of: Column) -> Column:
+    """Shared hashes below the threshold over those of another array; without any, 1 if the sketches are equal, else 0."""
+    shared = F.size(F.array_intersect(_below(F.col(a)), _below(F.col(b))))
+    return F.when(F.size(of) > 0, shared / F.size(of)).otherwise((F.col(a) == F.col(b)).cast("double"))
 
 
 def likeness(a: str, b: str) -> Column:
     """Estimated Jaccard likeness of the shingle sets behind two sketches; 1 for two empty ones."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    return _estimate(a, b, _below(F.array_union(a, b)))
 
 
 def containment(a: str, b: str) -> Column:
     """Estimated share of a's shingles that b has; 1 if a has none."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(_estimate(a, b, _below(F.col(a))))
 
 
 def as_text(sketch: str) -> Column:
@@ -63,24 +79,26 @@ def _part(key: Column, bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with the text and sketch of the next row by doc_id (nulls first, then by text); the last row's is the first.
+    """docs (doc_id, text) with the text and sketch of the next row by doc_id (nulls first; equal ones by a hash of the text, then by text); the last row's is the first.
 
     Rows are dealt by ranges of doc_id, whose bounds are approximate quantiles (as many as twice the shuffle partitions);
-    only the first row of each range is looked at beyond its range."""
+    rows without doc_id by ranges of the hash); only the first row of each range is looked at beyond its range."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
     bounds = sorted(set(found or []))
-    dealt = rows.withColumn("range", _part(F.col("doc_id"), bounds))
+    rows = rows.withColumn("order", F.xxhash64("text"))
+    without = F.floor((F.col("order") / F.lit(2.0**64) + 0.5) * ranges).cast("int") - ranges - 1
+    dealt = rows.withColumn("range", F.when(F.col("doc_id").isNull(), without).otherwise(_part(F.col("doc_id"), bounds)))
     # the rows that begin the ranges: one each, small and fixed in number
-    begins = dealt.groupBy("range").agg(F.min_by("text", F.struct(F.col("doc_id").isNotNull().alias("is"), "doc_id", "text")).alias("text"))
+    begins = dealt.groupBy("range").agg(F.min_by("text", F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "order", "text")).alias("text"))
     begins = common.saved(with_sketch(begins, "text", "sketch"))
     following = {r["range"]: r["to"] for r in _following(sorted(r["range"] for r in begins.select("range").collect()))}
     links = [(k, v) for k, v in following.items()]
     pairs = spark.createDataFrame(links, "range int, to int") if links else spark.createDataFrame([], "range int, to int")
     after = pairs.join(begins.select(F.col("range").alias("to"), F.col("text").alias("far_text"), F.col("sketch").alias("far_sketch")), "to").drop("to")
-    window = "over (partition by range order by doc_id nulls first, text)"
+    window = "over (partition by range order by doc_id nulls first, order, text)"
     near = with_sketch(dealt, "text", "sketch").withColumns({"near_text": F.expr(f"lead(text) {window}"), "near_sketch": F.expr(f"lead(sketch) {window}")})
     joined = near.join(after, "range", "left")
     last = F.col("near_text").isNull()
