@@ -3,8 +3,9 @@
 An Aho-Corasick automaton over the pieces reads a text once; at each position it follows its output links to all pieces
 that end there, and each relaxes the best score of the position (Viterbi). Spaces become the mark U+2581, one more is put
 before the text, and characters without a piece (a mark in the text too) become their UTF-8 bytes' pieces, so decoding gives
-back every text exactly. Scores are those of the file; pieces that it never produces by themselves (control, unknown and
-byte pieces) are not matched; the file's placeholder scores count as one less than its lowest. As no piece goes on
+back every text exactly. Piece files of the BPE kind hold ranks in place of scores, so a piece's score is the log probability
+that the Zipf-Mandelbrot law gives its rank, 1 / (rank + RANK_SHIFT); files of the unigram kind hold log probabilities, which are
+taken as they are. Control, unknown and byte pieces are not matched; a placeholder score counts as the last rank. As no piece goes on
 over a mark after another character, the best path of a text is that of its stretches (marks, then other characters), which
 are remembered per worker, within CACHE entries. Cases: a null text gives null ids, an empty one no ids; repeated rows
 give equal ids; other columns are kept by encode() and decode().
@@ -12,6 +13,7 @@ give equal ids; other columns are kept by encode() and decode().
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 from . import common
 
 PIECE_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 150_000
+CACHE = 60_000
 MARK = "▁"
-#: Score of a byte piece, each.
-BYTE_SCORE = -1e6
+#: Scores are whole numbers, log probabilities times SCALE, so that sums are exact; that of a byte piece.
+SCALE, BYTE_SCORE = 10**6, -(10**9)
+#: Added to ranks before their logarithm is taken.
+RANK_SHIFT = 100
 _NONE = float("-inf")
 _STRETCH = re.compile(" *[^ ]+| +")
 
@@ -42,11 +46,13 @@ class Pieces:
         size = model.get_piece_size()
         plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         lowest = min(s for s in map(model.get_score, plain) if s > -1e8) - 1
+        ranks = all(s <= 0 and s == int(s) for s in map(model.get_score, plain))
         self.machine = ahocorasick.Automaton()
         self.out: list[bytes] = [b""] * size
         for i in plain:
             piece = model.id_to_piece(i).replace(MARK, " ")
-            self.machine.add_word(piece, (len(piece), max(model.get_score(i), lowest), i))
+            score = max(model.get_score(i), lowest)
+            self.machine.add_word(piece, (len(piece), round(SCALE * (-math.log(RANK_SHIFT - score) if ranks else score)), i))
             self.out[i] = piece.encode()
         self.machine.make_automaton()
         self.byte = {}
@@ -62,7 +68,7 @@ class Pieces:
     def path(self, stretch: str) -> list[int]:
         """Ids of the best path; of equal ones, that whose last piece is longest, at each position."""
         n = len(stretch)
-        best, back = [0.0] + [_NONE] * n, [(1, -1)] * (n + 1)
+        best, back = [0] + [_NONE] * n, [(1, -1)] * (n + 1)
         at = 0  # positions up to here have their best score
         for end, (length, score, i) in self.machine.iter(stretch):  # by end; pieces of one end from long to short
             while at < end:
