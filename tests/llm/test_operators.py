@@ -317,14 +317,21 @@ def test_op5(spark):
     got = {r["page_id"]: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string, host string")).collect()}
     assert [(got[i]["host"], got[i]["path"], got[i]["rule"]) for i in range(1, 8)] == [("a.example.com", "/en/7x", "example.com/en/7"), ("example.com", "/en/1", "com/en/"), ("", "", None), ("", "", None), ("b.net", "/de/1", "net/de/"), ("www.example.net", "/de/8/", "example.net/de/8"), ("c.org", "", None)]
     assert [got[i]["verdict"] for i in (1, 2, 5, 6)] == ["allow", "block", "allow", "block"]
+    right, guess = urls.held_out_accuracy(common.table(spark, "/root/testdata/sf0.01", "pages"))
+    assert right >= 0.9 and right > guess
+    long = [(1, "x://" + "a." * 3000 + "com/en/" + "p" * 20000, "h"), (2, "", None), (None, "x://y.org/es/?" + "&k=1" * 2000, "p")]
+    got = urls.judged(spark.createDataFrame(long, "page_id long, url string, path string")).collect()
+    assert sorted((str(r["page_id"]), r["rule"]) for r in got) == [("1", "com/en/"), ("2", None), ("None", "org/es/")]
     out = queries.QUERIES["op5_urls"](spark, DATA)
     assert out.count() == common.table(spark, DATA, "pages").count() and out.filter("verdict not in ('allow', 'block')").count() == 0
 
 
 def test_op6(spark):
-    rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, None, None), (5, 1, "user", "b"), (5, 0, "user", "a"), (None, 0, "user", "n")]
+    rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, None, None), (5, 1, "user", "b"), (5, 0, "user", "a"), (None, 0, "user", "n"), (None, 0, "user", "n"), (None, 5, "user", "hi"), (None, 0, "user", "new")]
     got = chat.rendered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert sorted((str(r["conv_id"]), r["n_turns"], r["n_copies"]) for r in got) == [("2", 2, 2), ("4", 1, 1), ("5", 2, 1), ("None", 1, 1)]
+    assert sorted((str(r["conv_id"]), r["n_turns"], r["n_copies"]) for r in got) == [("2", 2, 2), ("4", 1, 1), ("5", 2, 1), ("None", 1, 1), ("None", 1, 2)]
+    long = [(1, i, "user", "w" * 5000, "x") for i in range(300)]
+    assert [r["n_turns"] for r in chat.rendered(spark.createDataFrame(long, "conv_id long, turn long, role string, text string, chat string")).collect()] == [300]
 
 
 def test_op7(docs, odd):
@@ -427,6 +434,27 @@ def test_op10(spark, docs, odd):
     got = {r["doc_id"]: r for r in languages.with_language(odd, model).collect()}
     assert [got[i]["lang_pred"] for i in (0, 1, 2)] == ["und"] * 3 and all(0 <= r["score"] <= 1 for r in got.values())
     assert languages.train(odd.limit(0)) is None
+    # calibration: junk is rejected, texts of learned languages stay, with all their own columns
+    rng = random.Random(9)
+    junk = ["".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz/+=_{}#") for _ in range(rng.randrange(80, 900))) for _ in range(60)]
+    junk += ["".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(rng.randrange(80, 900))) for _ in range(60)]
+    table = spark.createDataFrame([(i, t, "keep", 0.25) for i, t in enumerate(junk)], "doc_id long, text string, rejected string, score double")
+    assert languages.accepted(table, model).count() <= 0.1 * len(junk)
+    kept = languages.accepted(docs.withColumns({"score": F.lit(0.25), "rejected": F.lit("keep")}), model)
+    rows = kept.collect()
+    assert kept.columns[-2:] == ["score", "rejected"] and {(r["score"], r["rejected"]) for r in rows} == {(0.25, "keep")}
+    long = [r["doc_id"] for r in docs.filter("length(text) > 300").collect()]
+    assert len(set(long) & {r["doc_id"] for r in rows}) >= 0.98 * len(long)
+
+
+def test_op10_sample_is_bounded(spark, monkeypatch):
+    """Repeated ids do not widen the sample."""
+    sizes = []
+    counts = languages._counts
+    monkeypatch.setattr(languages, "_counts", lambda rows: sizes.append(rows.count()) or counts(rows))
+    rows = [(7, f"ein haus {i}", "de") for i in range(300)] + [(i, f"the house {i}", "en") for i in range(300)]
+    assert languages.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_rows=50) is not None
+    assert sizes == [50]
 
 
 def test_empty_tables(spark, odd, tmp_path):
