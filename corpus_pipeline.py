@@ -8,13 +8,14 @@ stages against brute force.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orbitloom.llm import common, decontamination, languages, ngram_join, pieces, pii
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is predicted with confidence; the model learns from the labelled rows of docs."""
-    return languages.with_language(docs, languages.train(docs)).filter("not rejected").select(docs.columns)
+    return languages.accepted(docs, languages.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars and the ids of each text."""
-    return pieces.encode(docs.select("doc_id", "lang", "source", "n_chars", "text")).drop("text")
+    """doc_id, lang, source, n_chars, the ids of each text, and whether decoding them gave the text back."""
+    done = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "n_chars", "text")))
+    return done.select("doc_id", "lang", "source", "n_chars", "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("same"))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("personal_data", personal_data), ("encode", encode)]
