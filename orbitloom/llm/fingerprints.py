@@ -10,6 +10,7 @@ sketches have likeness 1; repeated rows have equal sketches; other columns are n
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,8 +96,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     begins = dealt.groupBy("range").agg(F.min_by("text", F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "order", "text")).alias("text"))
     begins = common.saved(with_sketch(begins, "text", "sketch"))
     following = {r["range"]: r["to"] for r in _following(sorted(r["range"] for r in begins.select("range").collect()))}
-    links = [(k, v) for k, v in following.items()]
-    pairs = spark.createDataFrame(links, "range int, to int") if links else spark.createDataFrame([], "range int, to int")
+    pairs = spark.createDataFrame(pa.table({"range": pa.array(list(following), pa.int32()), "to": pa.array(list(following.values()), pa.int32())}))
     after = pairs.join(begins.select(F.col("range").alias("to"), F.col("text").alias("far_text"), F.col("sketch").alias("far_sketch")), "to").drop("to")
     window = "over (partition by range order by doc_id nulls first, order, text)"
     near = with_sketch(dealt, "text", "sketch").withColumns({"near_text": F.expr(f"lead(text) {window}"), "near_sketch": F.expr(f"lead(sketch) {window}")})

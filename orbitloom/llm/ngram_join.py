@@ -223,14 +223,17 @@ def rows_with_tiles(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -
     return _texts(docs).select("text").mapInArrow(run, "tile long, set_id long")
 
 
-def tile_members(tiled: DataFrame) -> DataFrame:
+def tile_members(tiled: DataFrame, scratch: common.Scratch) -> DataFrame:
     """tile, set_id, hub (smallest set_id) and n (members, a set counted again for each task that has it) of the tiles with several members.
 
-    Of tiles with the same members one stands for all: its members' ids, hashed, agree in number, ends, parity and sum."""
+    Most tiles have one row and go after a count by tile. Of tiles with the same members one stands for all: its members'
+    ids, hashed, agree in number, ends, parity and sum."""
+    repeated = tiled.groupBy("tile").agg(F.count("*").alias("rows")).filter("rows > 1").select("tile")
+    shared = common.saved(tiled.join(repeated, "tile", "left_semi"), scratch)
     hashed = F.xxhash64("set_id")
-    several = tiled.groupBy("tile").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("last"), F.count("*").alias("n"), F.bit_xor(hashed).alias("parity"), F.sum(hashed.bitwiseAND(0xFFFFFFFF)).alias("total")).filter("hub <> last")
+    several = shared.groupBy("tile").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("last"), F.count("*").alias("n"), F.bit_xor(hashed).alias("parity"), F.sum(hashed.bitwiseAND(0xFFFFFFFF)).alias("total")).filter("hub <> last")
     once = several.groupBy("hub", "last", "n", "parity", "total").agg(F.min("tile").alias("tile"), F.count("*").alias("tiles"))
-    return tiled.join(once.select("tile", "hub", "n", "tiles"), "tile")
+    return shared.join(once.select("tile", "hub", "n", "tiles"), "tile")
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -494,8 +497,8 @@ def labelled_rows(docs: DataFrame, k: int, percent: int, scratch: common.Scratch
     counted = common.saved(rows_and_counters(docs, k), scratch)
     rows = counted.filter("slice < 0").drop("slice")
     worded = rows.filter("set_id is not null")
-    classes = common.saved(worded.select("set_id", "row_id", "point").dropDuplicates(["set_id"]), scratch)
-    members = common.saved(tile_members(common.saved(rows_with_tiles(docs, k, percent, frequencies(counted)), scratch)), scratch)
+    members = common.saved(tile_members(common.saved(rows_with_tiles(docs, k, percent, frequencies(counted)), scratch), scratch), scratch)
+    classes = common.saved(worded.select("set_id", "row_id", "point").join(members.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"]), scratch)
 
     hubs = members.filter((F.col("n") > HUB_ABOVE) & (F.col("set_id") != F.col("hub"))).groupBy("set_id", "hub").agg(F.sum("tiles").alias("n"))
     near = hubs.groupBy(F.col("set_id").alias("b")).agg(F.max_by("hub", F.struct("n", "hub")).alias("a")).select("a", "b")

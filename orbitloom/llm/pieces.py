@@ -138,25 +138,36 @@ def _lists(parts: list[bytes | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([p is None for p in parts]))
 
 
-def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str = PIECE_FILE) -> DataFrame:
-    """df with the ids of a text column; all other columns stay."""
-    if out in df.columns:
-        df = df.drop(out)
-    names = [*df.columns, out]
+def _texts(own: Pieces, column: pa.Array) -> pa.Array:
+    """Texts of a column of ids."""
+    counts = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+    data, offsets = own.decode(np.asarray(column.flatten()).astype(np.int64), counts)
+    texts = pa.StringArray.from_buffers(len(counts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:  # ids that no text has
+        raw = data.tobytes()
+        texts = pa.array([raw[a:b].decode(errors="replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
+    return pc.if_else(column.is_valid(), texts, pa.scalar(None, pa.string())) if column.null_count else texts
+
+
+def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str = PIECE_FILE, decoded: str | None = None) -> DataFrame:
+    """df with the ids of a text column and, if decoded names a column, the texts that these ids give back; all other columns stay."""
+    df = df.drop(out, *([decoded] if decoded else []))
+    names = [*df.columns, out, *([decoded] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
         for part, _, _ in common.steps(batches, text):
             ids = _lists([None if t is None else own.encode(t) for t in part.column(text).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*part.columns, ids], names)
+            yield pa.RecordBatch.from_arrays([*part.columns, ids, *([_texts(own, ids)] if decoded else [])], names)
 
-    return df.mapInArrow(run, common.wider(df, **{out: "array<int>"}))
+    return df.mapInArrow(run, common.wider(df, **{out: "array<int>"}, **({decoded: "string"} if decoded else {})))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str = PIECE_FILE) -> DataFrame:
     """df with the text of an array of ids; all other columns stay."""
-    if out in df.columns:
-        df = df.drop(out)
+    df = df.drop(out)
     names = [*df.columns, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,18 +175,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str = PI
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                column = part.column(ids)
-                counts = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
-                data, offsets = own.decode(np.asarray(column.flatten()).astype(np.int64), counts)
-                texts = pa.StringArray.from_buffers(len(counts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
-                try:
-                    texts.validate(full=True)
-                except pa.ArrowInvalid:  # ids that no text has
-                    raw = data.tobytes()
-                    texts = pa.array([raw[a:b].decode(errors="replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
-                if column.null_count:
-                    texts = pc.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names)
+                yield pa.RecordBatch.from_arrays([*part.columns, _texts(own, part.column(ids))], names)
 
     return df.mapInArrow(run, common.wider(df, **{out: "string"}))
 
@@ -183,6 +183,6 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str = PI
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded: number of ids, a digest of them and whether the text came back."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = decode(encode(docs))
+    done = encode(docs, decoded="decoded")
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(joined, 256).alias("ids_sha256"), F.char_length("decoded").cast("long").alias("n_chars"), F.col("text").eqNullSafe(F.col("decoded")).alias("same"))

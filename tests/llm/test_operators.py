@@ -336,7 +336,8 @@ def test_op6(spark):
 
 def test_op7(docs, odd):
     for table in (docs, odd):
-        done = pieces.decode(pieces.encode(table))
+        done = pieces.encode(table, decoded="decoded")
+        assert pieces.decode(done.drop("decoded")).filter("not (text <=> decoded)").count() == 0
         assert done.count() == table.count() and done.filter("not (text <=> decoded)").count() == 0
     own = pieces.pieces(pieces.PIECE_FILE)
     score = dict(own.machine.items())
