@@ -35,7 +35,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, the ids of each text, and whether decoding them gave the text back."""
-    done = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "n_chars", "text")))
+    done = pieces.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), decoded="decoded")
     return done.select("doc_id", "lang", "source", "n_chars", "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("same"))
 
 
