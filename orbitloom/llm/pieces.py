@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 PIECE_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 60_000
+CACHE = 150_000
 MARK = "▁"
 #: Scores are whole numbers, log probabilities times SCALE, so that sums are exact; that of a byte piece.
 SCALE, BYTE_SCORE = 10**6, -(10**9)
