@@ -26,10 +26,19 @@ def trapezoid_residual(rows: DataFrame, key: str, time: str, bias: str, drift: s
     return rows.withColumn("residual", step)
 
 
-def silences(rows: DataFrame, key: str, time: str, seconds: float) -> DataFrame:
-    """Stretches of more than so many seconds without a row of the key: begin and end."""
-    after = F.lead(time).over(Window.partitionBy(key).orderBy(time))
-    return rows.select(key, F.col(time).alias("begins"), after.alias("ends")).filter((F.unix_micros("ends") - F.unix_micros("begins")) / 1e6 > seconds)
+def silences(rows: DataFrame, key: str, time: str, seconds: float, now: Column | str, receiver: str, live_s: float, least: int, tie: str = "seq") -> DataFrame:
+    """Stretches of more than so many seconds without a row of the key, with their end (null if still open at now).
+
+    A silence counts only if at least so many receivers were live when it was noticed (seconds after its begin, now at the
+    latest): heard in the same or the previous slot of live_s seconds. now is a column of rows (one value)."""
+    at = F.unix_micros(time) / 1e6
+    slot = F.floor(at / live_s)
+    heard = rows.select(F.explode(F.array(slot, slot + 1)).alias("_slot"), receiver).groupBy("_slot").agg(F.count_distinct(receiver).alias("_live")).filter(F.col("_live") >= least)
+    after = F.lead(time).over(Window.partitionBy(key).orderBy(time, tie))
+    stretches = rows.select(key, F.col(time).alias("begins"), after.alias("ends"), F.col(now).alias("_now") if isinstance(now, str) else now.alias("_now"))
+    begins, until = F.unix_micros("begins") / 1e6, F.unix_micros(F.coalesce("ends", "_now")) / 1e6
+    found = stretches.filter(until - begins > seconds).withColumn("_slot", F.floor((F.unix_micros("begins") / 1e6 + seconds) / live_s))
+    return found.join(heard, "_slot", "left_semi").select(key, "begins", "ends")
 
 
 def deferrals(rows: DataFrame, key: str, time: str, arms: Column, completes: Column, at_once_s: float, tie: str = "seq") -> DataFrame:

@@ -16,10 +16,17 @@ def search(events: DataFrame, types: list[str] | None = None, min_severity: int
     if until is not None:
         found = found.filter(F.col("time") <= F.lit(until).cast("timestamp"))
     total = found.groupBy("audience").agg(F.count("*").alias("total"))
-    page = found.join(total, "audience")
-    if limit is not None:
-        page = page.orderBy(F.desc("time"), F.desc("seq")).offset(offset).limit(limit)
-    return page
+    if limit is None:
+        return found.join(total, "audience")
+    newest = found.orderBy(F.desc("time"), F.desc("seq")).offset(offset).limit(limit)
+    return newest.join(total, "audience")
+
+
+def page(events: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """A page of events (1 to 500, at most 100,000 from the newest), newest first, beside the total of all; a page beyond the end is one row with the total and nulls."""
+    total = events.agg(F.count("*").alias("total")).withColumn("_one", F.lit(1))
+    newest = events.orderBy(F.desc("time"), F.desc("seq")).offset(max(0, min(100_000, offset))).limit(max(1, min(500, limit))).withColumn("_one", F.lit(1))
+    return total.join(newest, "_one", "left").drop("_one")
 
 
 def resume(events: DataFrame, cursors: DataFrame) -> DataFrame:

@@ -6,16 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time: str, payload: list[str]) -> DataFrame:
-    """Each left row with the latest right row of its key at or before its time: one union, one shuffle, one running last value."""
-    tagged = left.withColumn("_side", F.lit(1)).withColumn("_at", F.lit(None).cast(right.schema[time].dataType))
-    for c in payload:
-        tagged = tagged.withColumn(f"_{c}", F.lit(None).cast(right.schema[c].dataType))
-    other = right.select(key, time, *[F.col(c).alias(f"_{c}") for c in payload], F.col(time).alias("_at")).withColumn("_side", F.lit(0))
-    both = tagged.unionByName(other, allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumns({f"_{c}": F.last(f"_{c}", ignorenulls=True).over(order) for c in [*payload, "at"]})
-    return filled.filter("_side = 1").select(*left.columns, *[F.col(f"_{c}").alias(f"asof_{c}") for c in payload], F.col("_at").alias("asof_time"))
+def as_of(left: DataFrame, right: DataFrame, key: str, time: str, payload: list[str], tie: str | None = None) -> DataFrame:
+    """Each left row with the latest right row of its key at or before its time (of equal times that with the largest tie, the first
+    column of payload by default): one union, one shuffle, one running last value of the whole right row."""
+    other = right.select(key, time, F.struct(*[F.col(c).alias(c) for c in payload], F.col(time).alias("_at")).alias("_right"), F.col(tie or payload[0]).alias("_tie")).withColumn("_side", F.lit(0))
+    both = left.withColumn("_side", F.lit(1)).unionByName(other, allowMissingColumns=True)
+    order = Window.partitionBy(key).orderBy(F.col(time), F.col("_side"), F.col("_tie")).rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("_right", F.last("_right", ignorenulls=True).over(order))
+    return filled.filter("_side = 1").select(*left.columns, *[F.col(f"_right.{c}").alias(f"asof_{c}") for c in payload], F.col("_right._at").alias("asof_time"))
 
 
 def within(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, before: int, after: int) -> DataFrame:
@@ -42,10 +40,14 @@ def evidence(triggers: DataFrame, samples: DataFrame, key: str, before: int, aft
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, within_s: int, payload: list[str], tie: str) -> DataFrame:
-    """The right row of the key nearest in time within a tolerance; of equally near ones that with the smaller tie column."""
-    pairs = within(left, right, key, left_time, right_time, within_s, within_s)
+    """The right row of the key nearest in time within a tolerance; of equally near ones that with the smaller tie column.
+
+    Equal left rows each give one: they go through the join once, with their number."""
+    counted = left.groupBy(*left.columns).agg(F.count("*").alias("_times"))
+    pairs = within(counted, right, key, left_time, right_time, within_s, within_s)
     distance = F.abs(F.unix_micros(left_time) - F.unix_micros(right_time))
-    return pairs.groupBy(*left.columns).agg(F.min_by(F.struct(*payload, right_time), F.struct(distance.alias("d"), F.col(tie))).alias("n")).select(*left.columns, "n.*")
+    best = pairs.groupBy(*left.columns, "_times").agg(F.min_by(F.struct(*payload, right_time), F.struct(distance.alias("d"), F.col(tie))).alias("n"))
+    return best.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*left.columns, "n.*")
 
 
 def neighbours(points: DataFrame, radius: float, keep: int) -> DataFrame:

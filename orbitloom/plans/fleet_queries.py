@@ -114,9 +114,16 @@ def a17_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(*[F.count_if(kind == k).alias(k) for k in ("click", "view", "error")], F.count_if(~kind.isin("click", "view", "error")).alias("other"))
 
 
-@query(f"with $STREAM, l as (select subject, time as b, lead(time) over (partition by subject order by time) as e from stream) select subject, {t('b')} as begins, {t('e')} as ends from l where epoch_us(e) - epoch_us(b) > 43200000000")
+@query("with $STREAM, n as (select max(time) as now from stream), l as (select subject, time as b, lead(time) over (partition by subject order by time, seq) as e, now from stream, n), "
+       "g as (select subject, b, e, floor((epoch_us(b) / 1e6 + 43200) / 7200) as slot from l where epoch_us(coalesce(e, now)) - epoch_us(b) > 43200000000), "
+       "s as (select distinct floor(epoch_us(time) / 1e6 / 7200) as slot, seq % 10 as receiver from stream) "
+       f"select subject, {t('b')} as begins, {t('e')} as ends from g where (select count(distinct receiver) from s where s.slot in (g.slot, g.slot - 1)) >= 4")
 def t9_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return epochs.silences(event_stream(spark, sf_dir), "subject", "time", 43200).select("subject", said("begins"), said("ends"))
+    """Silent subjects, open ones too, while at least four of ten receivers are live."""
+    events = event_stream(spark, sf_dir).withColumn("receiver", F.col("seq") % 10)
+    now = events.agg(F.max("time").alias("now"))
+    rows = events.join(F.broadcast(now))  # one row
+    return epochs.silences(rows, "subject", "time", 43200, "now", "receiver", 7200, 4).select("subject", said("begins"), said("ends"))
 
 
 @query("with $STREAM, r as (select seq, subject, value, epoch_us(time) as us from stream), b as (select seq, subject, value, count(value) over w as n, median(value) over w as m from r window w as (partition by subject order by us range between 86400000000 preceding and 1 preceding)) select seq, subject, round(case when n >= 4 then m end, 4) as baseline, round(case when n >= 4 then value - m end, 4) as departure from b")

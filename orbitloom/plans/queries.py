@@ -42,6 +42,17 @@ def b1_event_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("audience", "seq", said("time"), "subject", "type", "severity", "total")
 
 
+@query(f"with $STREAM, f as (select * from stream where severity >= 1), p as (select * from f order by time desc, seq desc limit 50 offset 100) select n.total, p.audience, p.seq, {t('p.time')} as time, p.severity from (select count(*) as total from f) n left join p on true")
+def b1_event_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.page(history.search(event_stream(spark, sf_dir), None, 1).drop("total"), 50, 100).select("total", "audience", "seq", said("time"), "severity")
+
+
+@query("with $STREAM, f as (select * from stream where severity >= 1) select count(*) as total, null::bigint as seq from f")
+def b1_page_beyond_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = event_stream(spark, sf_dir).filter("severity >= 1")
+    return history.page(found, 50, 100_000).select("total", "seq")
+
+
 @query("with $STREAM, c as (select audience, max(seq) - 100 as last_seq from stream group by 1) select audience, count(*) filter (where seq > last_seq) as waiting, min(seq) filter (where seq > last_seq) as next_seq, not bool_or(seq = last_seq) as gap from stream join c using (audience) group by 1")
 def b3_event_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_stream(spark, sf_dir)
@@ -84,7 +95,7 @@ def u4_event_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.dedupe_across_audiences(event_stream(spark, sf_dir)).select(said("time"), "type", F.round("value", 6).alias("value"), "seq", "audiences")
 
 
-@query(f"with $STREAM, v as (select subject, time as vt, seq as vs from stream where type = 'view') select p.seq, p.subject, (select arg_max(vs, vt) from v where v.subject = p.subject and v.vt <= p.time) as asof_seq, (select {t('max(vt)')} from v where v.subject = p.subject and v.vt <= p.time) as asof_time from stream p where type = 'purchase'")
+@query(f"with $STREAM, v as (select subject, time as vt, seq as vs from stream where type = 'view') select p.seq, p.subject, (select vs from v where v.subject = p.subject and v.vt <= p.time order by vt desc, vs desc limit 1) as asof_seq, (select {t('max(vt)')} from v where v.subject = p.subject and v.vt <= p.time) as asof_time from stream p where type = 'purchase'")
 def j5_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_stream(spark, sf_dir)
     done = joins.as_of(events.filter("type = 'purchase'").select("seq", "subject", "time"), events.filter("type = 'view'").select("seq", "subject", "time"), "subject", "time", ["seq"])
@@ -208,17 +219,26 @@ def w24_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.compacted(with_state(event_stream(spark, sf_dir)), "subject", "time", "state").select("seq", "subject", "state", "before")
 
 
-@query("with $STREAM, r as (select *, lag(time) over w as pt, lag(state) over w as ps, first_value(state) over (partition by subject order by time, seq) as f from stream window w as (partition by subject order by time, seq)), "
-       "c as (select *, sum(case when ps <> state or (epoch_us(time) - epoch_us(pt)) / 1e6 > 7200 then 1 else 0 end) over (partition by subject order by time, seq) as g from r), "
-       "s as (select subject, g, state, f, min(time) as since, max(time) as until from c group by all having epoch_us(max(time)) - epoch_us(min(time)) >= 7200000000), "
-       "o as (select subject, state as new_value, coalesce(lag(state) over (partition by subject order by since), case when f = 'ok' then f else 'unknown' end) as old_value, since, until from s) "
-       f"select subject, old_value, new_value, {t('since')} as since, {t('until')} as held_until from o where old_value <> new_value")
+@query("with recursive $STREAM, r as (select subject, state, time, epoch_us(time) as us, row_number() over (partition by subject order by time, seq) as i from stream), "
+       "m as (select subject, i, case when state = 'ok' then 'ok' else 'unknown' end as cur, case when state = 'ok' then null else state end as prov, time as since, us as since_us, us as last_us, null::varchar as old_value, null::varchar as new_value from r where i = 1 "
+       "union all select r.subject, r.i, case when m.cur = 'unknown' and r.state = 'ok' then 'ok' when r.state = m.prov and r.us - m.last_us < 7200000000 and r.us - m.since_us >= 7200000000 then r.state else m.cur end, "
+       "case when r.state = m.cur or (m.cur = 'unknown' and r.state = 'ok') or (r.state = m.prov and r.us - m.last_us < 7200000000 and r.us - m.since_us >= 7200000000) then null else r.state end, "
+       "case when r.state = m.prov and r.us - m.last_us < 7200000000 then m.since else r.time end, case when r.state = m.prov and r.us - m.last_us < 7200000000 then m.since_us else r.us end, r.us, "
+       "case when r.state <> m.cur and not (m.cur = 'unknown' and r.state = 'ok') and r.state = m.prov and r.us - m.last_us < 7200000000 and r.us - m.since_us >= 7200000000 then m.cur end, "
+       "case when r.state <> m.cur and not (m.cur = 'unknown' and r.state = 'ok') and r.state = m.prov and r.us - m.last_us < 7200000000 and r.us - m.since_us >= 7200000000 then r.state end "
+       "from m join r on r.subject = m.subject and r.i = m.i + 1) "
+       f"select subject, old_value, new_value, {t('since')} as since from m where new_value is not null")
 def t3_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = state.debounced(with_state(event_stream(spark, sf_dir)), "subject", "time", "state", 7200)
-    return done.select("subject", "old_value", "new_value", said("since"), said("held_until"))
+    return done.select("subject", "old_value", "new_value", said("since"))
 
 
-@query("with $STREAM, r as (select seq, subject, epoch_us(time) as us, case state when 'crit' then 2 when 'warn' then 1 else 0 end as rank from stream) select seq, subject, rank, max(rank) over (partition by subject order by us range between 18000000000 preceding and current row) as held_rank from r")
+@query("with recursive $STREAM, r as (select seq, subject, epoch_us(time) as us, case state when 'crit' then 2 when 'warn' then 1 else 0 end as rank, row_number() over (partition by subject order by time, seq) as i from stream), "
+       "m as (select seq, subject, i, rank, rank as served, null::bigint as began, null::integer as floor from r where i = 1 "
+       "union all select r.seq, r.subject, r.i, r.rank, case when r.rank >= m.served then r.rank when m.began is not null and r.us - m.began >= 18000000000 then greatest(m.floor, r.rank) else m.served end, "
+       "case when r.rank >= m.served or (m.began is not null and r.us - m.began >= 18000000000) then null when m.began is null then r.us else m.began end, "
+       "case when r.rank >= m.served or (m.began is not null and r.us - m.began >= 18000000000) then null when m.began is null then r.rank else greatest(m.floor, r.rank) end "
+       "from m join r on r.subject = m.subject and r.i = m.i + 1) select seq, subject, rank, served as held_rank from m")
 def t4_recovery_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.when(F.col("state") == "crit", 2).when(F.col("state") == "warn", 1).otherwise(0)
     return state.held(with_state(event_stream(spark, sf_dir)).withColumn("rank", rank), "subject", "time", "rank", 18000).select("seq", "subject", "rank", "held_rank")

@@ -1,5 +1,7 @@
 import __spark_entry__ as entry
-from orbitloom.operators import series
+from pyspark.sql import functions as F
+
+from orbitloom.operators import epochs, history, joins, series
 from orbitloom.streaming import state
 
 
@@ -30,3 +32,61 @@ def test_debounce_by_hand(spark):
 def test_watermark_by_hand(spark):
     rows = spark.sql("select 'a' as k, * from values (1, true), (2, true), (3, false), (4, true) as t(seq, done)")
     assert series.watermark(rows, ["k"], "seq", "done").first()["watermark"] == 2
+
+
+def times(spark, rows, columns="k string, seq long, s long, v string"):
+    return spark.createDataFrame(rows, columns).selectExpr("*", "timestamp_seconds(s) as t")
+
+
+def debounce(spark, states, step=15, dwell=60, **more):
+    rows = times(spark, [("a", i, i * step, v) for i, v in enumerate(states) if v])
+    return [(r["old_value"], r["new_value"]) for r in state.debounced(rows, "k", "t", "v", dwell, **more).collect()]
+
+
+def test_debounce_seeds(spark):
+    assert debounce(spark, ["crit", *["ok"] * 8]) == []  # an unconfirmed degradation that reverts seeds the healthy state silently
+    assert debounce(spark, ["crit", "ok", *["crit"] * 5]) == [("ok", "crit")]
+    assert debounce(spark, ["crit"] * 5) == [("unknown", "crit")]
+    assert debounce(spark, [*["crit"] * 5, "ok", *["crit"] * 5]) == [("unknown", "crit")]
+    assert debounce(spark, [*["ok"] * 2, *["warn"] * 5, *["ok"] * 5]) == [("ok", "warn"), ("warn", "ok")]
+
+
+def test_debounce_holds(spark):
+    # a gap as long as the dwell starts it anew, a shorter one does not
+    assert debounce(spark, ["ok", "warn", None, None, None, "warn", "warn"]) == []
+    assert debounce(spark, ["ok", "warn", None, None, "warn", "warn"]) == [("ok", "warn")]
+    assert debounce(spark, ["ok", *["warn"] * 5, *["ok"] * 4], clear_s=30) == [("ok", "warn"), ("warn", "ok")]
+    assert debounce(spark, ["ok", *["warn"] * 5, *["ok"] * 4], clear_s=90) == [("ok", "warn")]
+
+
+def test_hold_serves_worst_of_recovery(spark):
+    def shown(pairs):
+        rows = times(spark, [("a", i, s, str(r)) for i, (s, r) in enumerate(pairs)]).selectExpr("*", "int(v) as rank")
+        return [r["held_rank"] for r in state.held(rows, "k", "t", "rank", 300).orderBy("s").collect()]
+
+    assert shown([(0, 2), (10, 1), (200, 0), (310, 0), (320, 0)]) == [2, 2, 2, 1, 1]
+    assert shown([(0, 2), (400, 0), (500, 0), (700, 0)]) == [2, 2, 2, 0]
+    assert shown([(0, 1), (10, 0), (20, 1), (330, 0), (629, 0), (630, 0)]) == [1, 1, 1, 1, 1, 0]
+    assert shown([(i, 1 if i else 0) for i in range(200)]) == [0, *[1] * 199]
+
+
+def test_silence_open_and_floor(spark):
+    rows = times(spark, [("sv", 0, 0, "r0"), *[("x", 10 + i, i * 100, f"r{i % 4}") for i in range(80)]]).selectExpr("*", "timestamp_seconds(7900) as now")
+    found = lambda df, least: [(r["k"], r["ends"]) for r in epochs.silences(df, "k", "t", 3600, "now", "v", 300, least).collect()]
+    assert found(rows, 4) == [("sv", None)]
+    assert found(rows.filter("v <> 'r3'"), 4) == [] and found(rows.filter("v <> 'r3'"), 3) == [("sv", None)]
+
+
+def test_page_beyond_end_has_total(spark):
+    events = times(spark, [("a", i, i, "") for i in range(7)]).withColumnRenamed("t", "time")
+    assert [r["total"] for r in history.page(events, 5, 100).collect()] == [7]
+    assert [(r["total"], r["seq"]) for r in history.page(events, 2, 5).orderBy("seq").collect()] == [(7, 0), (7, 1)]
+
+
+def test_joins_keep_whole_rows(spark):
+    left = times(spark, [("a", 1, 100, "l"), ("a", 1, 100, "l")]).drop("seq")
+    right = times(spark, [("a", 5, 50, "x"), ("a", 6, 60, None), ("a", 7, 60, None), ("a", 9, 130, "z")])
+    got = joins.as_of(left, right, "k", "t", ["seq", "v"]).collect()
+    assert [(r["asof_seq"], r["asof_v"]) for r in got] == [(7, None)] * 2  # one right row, not a mix, and of equal times the larger
+    near = joins.nearest(left.select("k", "t"), right.select("k", F.col("seq").alias("n"), F.col("t").alias("rt")), "k", "t", "rt", 60, ["n"], "n")
+    assert [r["n"] for r in near.collect()] == [9, 9]
