@@ -11,9 +11,10 @@ cannot reach the overlap that the threshold needs is dropped. Four levels use th
 2. Tiles of more than HUB_ABOVE members: each set is tried against the hub (smallest set_id) with which it shares most
    tiles, if their points allow it. So a large group of near copies is mostly one component before pairs are looked for.
 3. Tiles with members of several components get an R-tree, packed by size and leading counts: pairs of nodes are opened
-   only if the summed minima of COARSE groups can reach the overlap and the nodes hold several components. Pairs of points
-   that survive are bounded again over FINE groups. Of those, a spanning forest of each tile's components is kept, so a
-   group gives about as many pairs as it has members.
+   only if the summed minima of COARSE groups can reach the overlap and the nodes hold several components. A first descent
+   carries the COARSE counts alone and leaves the members that have any partner; most share their tile by chance and go.
+   The others bring their whole points: pairs that survive a second descent are bounded again over FINE groups. Of those, a
+   spanning forest of each tile's components is kept, so a group gives about as many pairs as it has members.
 4. Surviving pairs are verified on whole sets of 64-bit shingle hashes. Where one fails, its tiles are searched again
    without it, until no pair fails; then no link can be missing between two components.
 
@@ -46,6 +47,8 @@ LEAF, BLOCK, SIDE = 16, 1024, 256
 HUB_ABOVE = 64
 #: Bytes of packed points, or of tokens, that one numpy step takes.
 POINT_BYTES, TOKENS = 1 << 19, 1 << 19
+#: Rows of coarse counts that one numpy step takes.
+COUNT_ROWS = 1 << 14
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -81,7 +84,33 @@ def packed_points(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-class Points:
+def packed_counts(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Counts of COARSE groups of sets, a byte each after two bytes of the unit that they are rounded up to (1 unless a count is over 255)."""
+    of, _ = _runs(bounds)
+    counts = np.bincount(of * COARSE + ((values >> np.uint64(20)) & np.uint64(COARSE - 1)).astype(np.int64), minlength=(len(bounds) - 1) * COARSE).reshape(-1, COARSE)
+    unit = np.maximum(-(-counts.max(1, initial=0) // 255), 1)
+    raw = np.concatenate([unit.astype("<u2").view(np.uint8).reshape(-1, 2), (-(-counts // unit[:, None])).astype(np.uint8)], axis=1)
+    return [row.tobytes() for row in raw]
+
+
+class Counts:
+    """Points known by their size and the counts of COARSE groups, rounded up, so that bounds stay bounds."""
+
+    def __init__(self, column: pa.Array, size: np.ndarray):
+        raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 + COARSE)
+        unit = raw[:, :2].copy().view("<u2").astype(np.int32)
+        self.coarse, self.size = raw[:, 2:].astype(np.int32) * unit, size
+
+    def fits(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Coarse bound on pairs of points."""
+        most = np.empty(len(i), np.int64)
+        for s in range(0, len(i), 1 << 14):
+            cut = slice(s, s + (1 << 14))
+            most[cut] = np.minimum(self.coarse[i[cut]], self.coarse[j[cut]]).sum(1, dtype=np.int64)
+        return (100 + percent) * most >= percent * (self.size[i] + self.size[j])
+
+
+class Points(Counts):
     """Points unpacked: counts of COARSE groups, and FINE groups as sorted tokens (a group's repeats are told apart)."""
 
     def __init__(self, column: pa.Array):
@@ -100,14 +129,6 @@ class Points:
         self.size = np.diff(self.bounds)
         self.coarse = np.bincount(self.of * COARSE + group % COARSE, minlength=len(self.size) * COARSE).reshape(-1, COARSE).astype(np.int32)
 
-    def fits(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-        """Coarse bound on pairs of points."""
-        most = np.empty(len(i), np.int64)
-        for s in range(0, len(i), 1 << 14):
-            cut = slice(s, s + (1 << 14))
-            most[cut] = np.minimum(self.coarse[i[cut]], self.coarse[j[cut]]).sum(1, dtype=np.int64)
-        return (100 + percent) * most >= percent * (self.size[i] + self.size[j])
-
     def _keys(self, which: np.ndarray) -> np.ndarray:
         size = self.size[which]
         pair = np.repeat(np.arange(len(which)), size)
@@ -150,7 +171,7 @@ def _slices(total: np.ndarray) -> Iterator[tuple[int, bytes]]:
 
 
 def rows_and_counters(docs: DataFrame, k: int) -> DataFrame:
-    """One pass: doc_id, row_id, number of shingles, id of the set (null if empty) and its point, with slice -1; and slices of each task's counters."""
+    """One pass: doc_id, row_id, number of shingles, id of the set (null if empty), its point and its coarse counts, with slice -1; and slices of each task's counters."""
 
     def run(batches):
         total = np.zeros(2 * COUNTERS, np.int32)
@@ -161,13 +182,13 @@ def rows_and_counters(docs: DataFrame, k: int) -> DataFrame:
                     np.add.at(total, place, 1)
             size = np.diff(bounds)
             ids = pa.array(_ids(values, bounds), mask=size == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), -1, np.int32)), part.column("doc_id"), part.column("row_id"), pa.array(size.astype(np.int64)), ids, pa.array(packed_points(values, bounds), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), -1, np.int32)), part.column("doc_id"), part.column("row_id"), pa.array(size.astype(np.int64)), ids, pa.array(packed_points(values, bounds), pa.binary()), pa.array(packed_counts(values, bounds), pa.binary())], names)
         for at, raw in _slices(total):
             none = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), none, none, none, none, pa.array([raw], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), none, none, none, none, pa.array([raw], pa.binary()), pa.nulls(1, pa.binary())], names)
 
-    names = ["slice", "doc_id", "row_id", "n_shingles", "set_id", "point"]
-    return _texts(docs).mapInArrow(run, "slice int, doc_id long, row_id long, n_shingles long, set_id long, point binary")
+    names = ["slice", "doc_id", "row_id", "n_shingles", "set_id", "point", "counts"]
+    return _texts(docs).mapInArrow(run, "slice int, doc_id long, row_id long, n_shingles long, set_id long, point binary, counts binary")
 
 
 def frequencies(counted: DataFrame) -> np.ndarray:
@@ -428,6 +449,62 @@ def _forest_of(points: Points, i: np.ndarray, j: np.ndarray, node: np.ndarray, o
     return i[taken], j[taken], like[taken]
 
 
+def _dealt(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members (tile, set_id, label) of tiles with several components, once for each pair of blocks (one, two) that their own (side) is in, with the columns of classes."""
+    sizes = members.groupBy("tile", "label").agg(F.count("*").alias("n")).groupBy("tile").agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).filter("labels > 1")
+    of_main = F.ceil(F.col("most") / BLOCK)
+    blocks = F.when(F.col("n") <= BLOCK, F.struct(F.lit(0).cast("long").alias("main"), F.lit(1).cast("long").alias("all"))).otherwise(F.struct(of_main.alias("main"), (of_main + F.ceil((F.col("n") - F.col("most")) / BLOCK)).alias("all")))
+    dealt = members.join(sizes.select("tile", F.col("main").alias("main_label"), blocks.alias("blocks")), "tile").join(classes, "set_id")
+    mine = F.pmod(F.xxhash64("set_id"), F.col("blocks.main"))
+    other = F.col("blocks.main") + F.pmod(F.xxhash64("set_id"), F.col("blocks.all") - F.col("blocks.main"))
+    dealt = dealt.withColumn("side", F.when((F.col("blocks.main") > 0) & (F.col("label") == F.col("main_label")), mine).otherwise(other))
+    # members of the main component meet only the others' blocks
+    first = F.when(F.col("side") < F.col("blocks.main"), F.col("blocks.main")).otherwise(F.lit(0).cast("long"))
+    return dealt.withColumn("other", F.explode(F.sequence(first, F.col("blocks.all") - 1))).withColumns({"one": F.least("side", "other"), "two": F.greatest("side", "other")})
+
+
+def with_partners(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The members (tile, set_id, label) that have a member of another component in their tile within reach of their coarse counts."""
+
+    def run(batches):
+        for table, cuts in _whole_groups(batches, ["tile", "one", "two"]):
+            at = 0
+            while at < len(cuts) - 1:  # whole groups of about COUNT_ROWS
+                to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + COUNT_ROWS, "right")) - 1)
+                yield search(table.slice(cuts[at], cuts[to] - cuts[at]).combine_chunks().to_batches()[0], cuts[at : to + 1] - cuts[at])
+                at = to
+
+    def search(part: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
+        points = Counts(part.column("counts"), np.asarray(part.column("n_shingles")))
+        one, two, side, label = (np.asarray(part.column(c)) for c in ("one", "two", "side", "label"))
+        label = np.unique(label, return_inverse=True)[1]
+        met = np.zeros(len(label), bool)
+        i, j = _leaf_pairs(cuts)
+        keep = (label[i] != label[j]) & ((one[i] == two[i]) | (side[i] != side[j]))
+        i, j = i[keep], j[keep]
+        fit = points.fits(i, j, percent)
+        met[i[fit]] = met[j[fit]] = True
+        for left, right in _sides(cuts, one, two, side):
+            whole = Tree(points, right, label)
+            for s in range(0, len(left), SIDE):
+                i, j = tree_pairs(Tree(points, left[s : s + SIDE], label), whole, percent)
+                met[i] = met[j] = True
+        return part.select(["tile", "set_id", "label"]).filter(pa.array(met))
+
+    dealt = _dealt(members, classes.select("set_id", "counts", "n_shingles")).select("tile", "one", "two", "side", "set_id", "label", "counts", "n_shingles")
+    return dealt.repartition("tile", "one", "two").sortWithinPartitions("tile", "one", "two").mapInArrow(run, "tile long, set_id long, label long").distinct()
+
+
+def _sides(cuts: np.ndarray, one: np.ndarray, two: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the two blocks of each group of more than LEAF rows; the same rows twice where a block meets itself."""
+    for g in np.flatnonzero(np.diff(cuts) > LEAF).tolist():
+        rows = np.arange(cuts[g], cuts[g + 1])
+        left = rows[side[rows] == one[rows[0]]]
+        right = left if one[rows[0]] == two[rows[0]] else rows[side[rows] == two[rows[0]]]
+        if len(left) and len(right):
+            yield left, right
+
+
 def open_pairs(members: DataFrame, classes: DataFrame, percent: int, failed: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) that join components inside the tiles (tile, set_id, label) which hold several: a spanning forest of each pair of blocks."""
 
@@ -453,12 +530,7 @@ def open_pairs(members: DataFrame, classes: DataFrame, percent: int, failed: Dat
         i, j = i[keep], j[keep]
         fit = points.fits(i, j, percent)
         found = [_forest_of(points, i[fit], j[fit], node, own, failed, percent)]
-        for g in np.flatnonzero(np.diff(cuts) > LEAF).tolist():
-            rows = np.arange(cuts[g], cuts[g + 1])
-            left = rows[side[rows] == one[rows[0]]]
-            right = left if one[rows[0]] == two[rows[0]] else rows[side[rows] == two[rows[0]]]
-            if not len(left) or not len(right):
-                continue
+        for left, right in _sides(cuts, one, two, side):
             whole, parts = Tree(points, right, label), []
             for s in range(0, len(left), SIDE):
                 i, j = tree_pairs(Tree(points, left[s : s + SIDE], label), whole, percent)
@@ -473,16 +545,7 @@ def open_pairs(members: DataFrame, classes: DataFrame, percent: int, failed: Dat
         pairs = np.unique(np.stack([np.minimum(own[i], own[j]), np.maximum(own[i], own[j])]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    sizes = members.groupBy("tile", "label").agg(F.count("*").alias("n")).groupBy("tile").agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).filter("labels > 1")
-    of_main = F.ceil(F.col("most") / BLOCK)
-    blocks = F.when(F.col("n") <= BLOCK, F.struct(F.lit(0).cast("long").alias("main"), F.lit(1).cast("long").alias("all"))).otherwise(F.struct(of_main.alias("main"), (of_main + F.ceil((F.col("n") - F.col("most")) / BLOCK)).alias("all")))
-    dealt = members.join(sizes.select("tile", F.col("main").alias("main_label"), blocks.alias("blocks")), "tile").join(classes.select("set_id", "point"), "set_id")
-    mine = F.pmod(F.xxhash64("set_id"), F.col("blocks.main"))
-    other = F.col("blocks.main") + F.pmod(F.xxhash64("set_id"), F.col("blocks.all") - F.col("blocks.main"))
-    dealt = dealt.withColumn("side", F.when((F.col("blocks.main") > 0) & (F.col("label") == F.col("main_label")), mine).otherwise(other))
-    # members of the main component meet only the others' blocks
-    first = F.when(F.col("side") < F.col("blocks.main"), F.col("blocks.main")).otherwise(F.lit(0).cast("long"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(first, F.col("blocks.all") - 1))).withColumns({"one": F.least("side", "other"), "two": F.greatest("side", "other")})
+    pairs = _dealt(members, classes.select("set_id", "point"))
     if failed is None:
         pairs = pairs.withColumn("failed", F.lit(None).cast("array<bigint>"))
     else:
@@ -498,7 +561,7 @@ def labelled_rows(docs: DataFrame, k: int, percent: int, scratch: common.Scratch
     rows = counted.filter("slice < 0").drop("slice")
     worded = rows.filter("set_id is not null")
     members = common.saved(tile_members(common.saved(rows_with_tiles(docs, k, percent, frequencies(counted)), scratch), scratch), scratch)
-    classes = common.saved(worded.select("set_id", "row_id", "point").join(members.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"]), scratch)
+    classes = common.saved(worded.select("set_id", "row_id", "n_shingles", "point", "counts").join(members.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"]), scratch)
 
     hubs = members.filter((F.col("n") > HUB_ABOVE) & (F.col("set_id") != F.col("hub"))).groupBy("set_id", "hub").agg(F.sum("tiles").alias("n"))
     near = hubs.groupBy(F.col("set_id").alias("b")).agg(F.max_by("hub", F.struct("n", "hub")).alias("a")).select("a", "b")
@@ -507,7 +570,8 @@ def labelled_rows(docs: DataFrame, k: int, percent: int, scratch: common.Scratch
     open_ = members.select("tile", "set_id").distinct()
     failed = None
     while True:
-        pairs = common.saved(_located(open_pairs(_labelled(open_, labels, "set_id"), classes, percent, failed), classes), scratch)
+        reached = common.saved(with_partners(_labelled(open_, labels, "set_id"), classes, percent), scratch)
+        pairs = common.saved(_located(open_pairs(reached, classes, percent, failed), classes), scratch)
         links = common.saved(_verified(pairs, docs, k, percent, scratch), scratch)
         labels = _merged(links, labels, scratch)
         fresh = common.saved(pairs.select("a", "b").join(links, ["a", "b"], "left_anti"), scratch)

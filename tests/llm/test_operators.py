@@ -114,6 +114,17 @@ def test_op1_bounds_hold():
         assert (label[x] != label[y]).all()
 
 
+def test_op1_coarse_counts_bound():
+    """Coarse counts are exact up to 255 and rounded up beyond, so they never bound less than the points do."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (0, 1, 40, 3000, 60000)]
+    values, bounds = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    points = ngram_join.Points(pa.array(ngram_join.packed_points(values, bounds), pa.binary()))
+    counts = ngram_join.Counts(pa.array(ngram_join.packed_counts(values, bounds), pa.binary()), np.diff(bounds))
+    assert (counts.coarse[:4] == points.coarse[:4]).all() and (counts.coarse >= points.coarse).all()
+    assert points.coarse[4].max() > 255 and (counts.coarse[4] - points.coarse[4] < 5).all()
+
+
 @pytest.mark.parametrize("block,hub_above", [(8, 4), (40, 10**9)])
 def test_op1_blocks(spark, monkeypatch, block, hub_above):
     """Many members of one tile in several blocks, some linked and some not."""
