@@ -7,7 +7,8 @@ cannot reach the overlap that the threshold needs is dropped. Four levels use th
 1. Root level (tiles). Shingles are ordered by how often they occur (counted for all rows in a table of fixed size, whose
    collisions only spoil the order, never the result), rare ones first. A set of n shingles that must share m with any
    partner shares one of its first n - m + 1 with it; each of those is a tile. What many documents repeat comes last in
-   that order and gives no tiles.
+   that order and gives no tiles. Sizes are cut into bands as wide as the threshold, so linked sets are in the same or in
+   neighbouring bands; where a tile's rows are all of different bands, those without a neighbour go.
 2. Tiles of more than HUB_ABOVE members: each set is tried against the hub (smallest set_id) with which it shares most
    tiles, if their points allow it. So a large group of near copies is mostly one component before pairs are looked for.
 3. Tiles with members of several components get an R-tree, packed by size and leading counts: pairs of nodes are opened
@@ -213,6 +214,11 @@ def frequencies(counted: DataFrame) -> np.ndarray:
     return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
 
 
+def bands(size: np.ndarray, percent: int) -> np.ndarray:
+    """Band of each set's size, modulo 64: linked sets differ by one at most."""
+    return (np.log(np.maximum(size, 1)) / (np.log(100 / percent) * 1.0001 if percent < 100 else 1)).astype(np.int64) % 64
+
+
 def first_shingles(values: np.ndarray, bounds: np.ndarray, percent: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The tiles of sets, and the set of each: as many of their rarest shingles as a linked set cannot miss."""
     of, place = _runs(bounds)
@@ -224,7 +230,7 @@ def first_shingles(values: np.ndarray, bounds: np.ndarray, percent: int, counts:
 
 
 def rows_with_tiles(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """tile and set_id of every set; a set that a task has seen before gives none again."""
+    """tile, set_id and band (of the size) of every set; a set that a task has seen before gives none again."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
@@ -239,18 +245,21 @@ def rows_with_tiles(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -
                     seen.add(own)
                     fresh[i] = True
             keep = fresh[of]
-            yield pa.RecordBatch.from_arrays([pa.array(tile[keep].view(np.int64)), pa.array(ids[of[keep]])], ["tile", "set_id"])
+            band = bands(np.diff(bounds), percent)[of[keep]].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(tile[keep].view(np.int64)), pa.array(ids[of[keep]]), pa.array(band)], ["tile", "set_id", "band"])
 
-    return _texts(docs).select("text").mapInArrow(run, "tile long, set_id long")
+    return _texts(docs).select("text").mapInArrow(run, "tile long, set_id long, band int")
 
 
 def tile_members(tiled: DataFrame, scratch: common.Scratch) -> DataFrame:
     """tile, set_id, hub (smallest set_id) and n (members, a set counted again for each task that has it) of the tiles with several members.
 
-    Most tiles have one row and go after a count by tile. Of tiles with the same members one stands for all: its members'
+    Most tiles have one row and go after a count by tile, with those whose rows are of bands that cannot be linked. Of tiles with the same members one stands for all: its members'
     ids, hashed, agree in number, ends, parity and sum."""
-    repeated = tiled.groupBy("tile").agg(F.count("*").alias("rows")).filter("rows > 1").select("tile")
-    shared = common.saved(tiled.join(repeated, "tile", "left_semi"), scratch)
+    seen = tiled.groupBy("tile").agg(F.count("*").alias("rows"), F.expr("bit_or(shiftleft(1L, band))").alias("seen")).filter("rows > 1")
+    beside = F.expr("seen & (shiftleft(seen, 1) | shiftrightunsigned(seen, 63) | shiftrightunsigned(seen, 1) | shiftleft(seen, 63))")
+    able = seen.select("tile", F.when(F.bit_count("seen") < F.col("rows"), F.lit(-1).cast("long")).otherwise(beside).alias("able")).filter("able <> 0")
+    shared = common.saved(tiled.join(able, "tile").filter("shiftrightunsigned(able, band) & 1 = 1").select("tile", "set_id"), scratch)
     hashed = F.xxhash64("set_id")
     several = shared.groupBy("tile").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("last"), F.count("*").alias("n"), F.bit_xor(hashed).alias("parity"), F.sum(hashed.bitwiseAND(0xFFFFFFFF)).alias("total")).filter("hub <> last")
     once = several.groupBy("hub", "last", "n", "parity", "total").agg(F.min("tile").alias("tile"), F.count("*").alias("tiles"))

@@ -114,6 +114,15 @@ def test_op1_bounds_hold():
         assert (label[x] != label[y]).all()
 
 
+def test_op1_bands_meet():
+    """Sizes that a link allows are in the same or neighbouring bands."""
+    n = np.arange(1, 4000)
+    for percent in (60, 80, 90, 99, 100):
+        for m in (n, -(-percent * n // 100)):
+            apart = (ngram_join.bands(n, percent) - ngram_join.bands(m, percent)) % 64
+            assert set(apart.tolist()) <= {0, 1}
+
+
 def test_op1_coarse_counts_bound():
     """Coarse counts are exact up to 255 and rounded up beyond, so they never bound less than the points do."""
     rng = np.random.default_rng(5)
