@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from orbitloom.plans import fleet_queries, queries
+from orbitloom.plans import fleet_queries, function_queries, queries
 
-QUERIES: dict = queries.QUERIES | fleet_queries.QUERIES
-SQL: dict = queries.SQL | fleet_queries.SQL
+_MODULES = (queries, fleet_queries, function_queries)
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL: dict = {name: text for m in _MODULES for name, text in m.SQL.items()}
 FLAGSHIP = "w2_current_conditions"
