@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orbitloom.plans import fleet_queries, function_queries, queries
+from orbitloom.plans import fleet_queries, function_queries, queries, store_queries
 
-_MODULES = (queries, fleet_queries, function_queries)
+_MODULES = (queries, fleet_queries, function_queries, store_queries)
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL: dict = {name: text for m in _MODULES for name, text in m.SQL.items()}
 FLAGSHIP = "w2_current_conditions"
