@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitloom.operators import scope
-from orbitloom.operators.tables import event_stream, table
+from orbitloom.operators.joins import within
+from orbitloom.operators.series import compacted
+from orbitloom.operators.tables import event_stream, table, with_state
 from orbitloom.plans.queries import said, t
 from orbitloom.plans.registry import observations, registry
 from orbitloom.sources import scans, sinks
@@ -32,8 +34,6 @@ _BUNDLES = "b as (select subject, audience, seq, time as event_time, time - inte
 
 
 def _bundles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    from orbitloom.operators.joins import within
-
     events = event_stream(spark, sf_dir)
     heads = events.filter("type = 'error'").select("subject", "audience", "seq", F.col("time").alias("event_time"))
     others = events.filter("type <> 'error'").select("subject", F.col("seq").alias("sample"), F.col("time").alias("sample_time"), F.col("type").alias("origin"))
@@ -101,9 +101,6 @@ def k6_ledger_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with $STREAM, l as (select *, lag(state) over (partition by subject order by time, seq) as before from stream) select 'assessment' as kind, '{\"kind\":\"assessment\",\"seq\":' || seq || ',\"state\":\"' || state || '\"}' as line from l where before is distinct from state union all select 'event', '{\"kind\":\"event\",\"seq\":' || seq || ',\"type\":\"error\"}' from stream where type = 'error'")
 def k7_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State changes and error events as JSON lines."""
-    from orbitloom.operators.series import compacted
-    from orbitloom.operators.tables import with_state
-
     events = event_stream(spark, sf_dir)
     changes = compacted(with_state(events), "subject", "time", "state").select("time", "seq", "state")
     lines = sinks.timeline(changes.drop("time").withColumn("at", F.lit(0)), events.filter("type = 'error'").select("seq", "type").withColumn("at", F.lit(0)), "at")
@@ -205,8 +202,6 @@ def l4_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with $STREAM, o as (select *, case when seq % 5 = 0 then null else seq * 7 % 10007 end as receipt from stream) select seq, row_number() over (partition by subject order by receipt nulls first, case when receipt is null then time end nulls first, seq) as place from o")
 def l1_total_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of each receipt of a station: those without a number first, by their stamps."""
-    from pyspark.sql import Window
-
     rows = event_stream(spark, sf_dir).withColumn("receipt", F.when(F.col("seq") % 5 != 0, F.col("seq") * 7 % 10007))
     order = scans.receipt_order("receipt", "time", "seq")
     return rows.select("seq", F.row_number().over(Window.partitionBy("subject").orderBy(*order, "seq")).cast("long").alias("place"))
@@ -215,7 +210,5 @@ def l1_total_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with $STREAM, e as (select *, time::date as tick from stream where type <> 'view') select seq, row_number() over (partition by tick order by subject, type, body, seq) as place from e")
 def l5_tick_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of an event within its tick, by subject, type and message."""
-    from pyspark.sql import Window
-
     rows = event_stream(spark, sf_dir).filter("type <> 'view'")
     return rows.select("seq", F.row_number().over(Window.partitionBy(F.to_date("time")).orderBy("subject", "type", "body", "seq")).cast("long").alias("place"))
