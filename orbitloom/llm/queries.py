@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, chat, decontamination, fingerprints, languages, licenses, ngram_join, pieces, pii, urls
+from . import brown, chat, decontamination, fingerprints, languages, lexical, licenses, ngram_join, pieces, pii, urls
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_brown": brown.op8_brown,
     "op9_pii": pii.op9_pii,
     "op10_languages": languages.op10_languages,
+    "op12_lexical_search": lexical.op12_lexical_search,
 }
-SQL = {"op6_chat": chat.OP6_SQL}
+SQL = {"op6_chat": chat.OP6_SQL, "op12_lexical_search": lexical.OP12_SQL}
