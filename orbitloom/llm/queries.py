@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, chat, decontamination, fingerprints, languages, lexical, licenses, ngram_join, pieces, pii, urls
+from . import alignment, brown, chat, decontamination, fingerprints, languages, lexical, licenses, ngram_join, pieces, pii, urls
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_languages": languages.op10_languages,
     "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_alignment": alignment.op13_alignment,
 }
 SQL = {"op6_chat": chat.OP6_SQL, "op12_lexical_search": lexical.OP12_SQL}
