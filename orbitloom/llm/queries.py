@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, brown, chat, decontamination, fingerprints, languages, lexical, licenses, ngram_join, pieces, pii, urls
+from . import alignment, brown, chat, decontamination, fingerprints, languages, lexical, licenses, ngram_join, pieces, pii, suffixes, urls
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_brown": brown.op8_brown,
     "op9_pii": pii.op9_pii,
     "op10_languages": languages.op10_languages,
+    "op11_suffix_dedup": suffixes.op11_suffix_dedup,
     "op12_lexical_search": lexical.op12_lexical_search,
     "op13_alignment": alignment.op13_alignment,
 }
