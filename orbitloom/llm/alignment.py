@@ -3,7 +3,7 @@
 A text is cut where a blank or line feed follows a character that is no white space. Neither tokenizer has a token over such a
 place (a byte-level BPE splits there before it merges, and no piece of the other vocabulary goes on over one, which is checked
 when it is loaded), so a text's tokens are those of its stretches, and a worker remembers the aligned stretches, within
-STRETCHES entries. Two tokens are linked where their byte ranges overlap; every place between two neighbouring ends of either
+STRETCHES entries, of which those used least go first. Two tokens are linked where their byte ranges overlap; every place between two neighbouring ends of either
 kind belongs to one link.
 
 Counts: a first pass over the texts gives each task's pairs of ids with their links. The different pairs are dealt into buckets by
@@ -23,26 +23,29 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from . import common
 
 BYTE_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Aligned stretches that a worker remembers, their characters, characters of texts and stretches of a long text that are taken at a time.
-STRETCHES, STRETCH_CHARS, GROUP_CHARS, SLICE = 200_000, 4 << 20, 1 << 18, 50_000
+STRETCHES, STRETCH_CHARS, GROUP_CHARS, SLICE = 300_000, 8 << 20, 1 << 18, 50_000
 #: Pairs of a bucket on average, vectors that are summed at a time, and the pairs whose counts are sent to all workers.
 BUCKET, FAN, TABLE_PAIRS = 4096, 64, 1 << 22
 _MARK = "▁"
+#: Fixed value: where byte-level BPE splits a text before it merges.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _STRETCH = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*)?|\s+")
 _SECOND, _ODD = np.uint64(0x5851F42D4C957F2D), np.uint64(0xDA942042E4DD58B5)
 COLUMNS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -59,80 +62,125 @@ class Aligner:
     """Both tokenizers and the stretches aligned so far, numbered as they came."""
 
     def __init__(self, byte_file: str, piece_file: str):
-        self.bpe = Tokenizer.from_file(byte_file)
-        self.bpe.encode_special_tokens = True
+        with open(byte_file, encoding="utf-8") as file:
+            model = json.load(file)["model"]
         letters = _byte_letters()
-        names = {i: name for name, i in self.bpe.get_vocab(with_added_tokens=True).items()}
-        self.a_bytes = [bytes(letters[c] for c in names.get(i, "")) if all(c in letters for c in names.get(i, "")) else names[i].encode() for i in range(max(names) + 1)]
+        ranks = {bytes(letters[c] for c in name): i for name, i in model["vocab"].items() if all(c in letters for c in name)}
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        if [model["vocab"][m] for m in merged] != list(range(256, 256 + len(merged))):
+            raise ValueError(f"{byte_file} does not number its tokens in the order of merges")
+        ranks = {name: i for name, i in ranks.items() if i < 256 + len(merged)}
+        self.bpe = tiktoken.Encoding("bytes", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_file)
         texts = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
         if any(re.search(rf"[^\s{_MARK}][ \n{_MARK}]", t) for t in texts):
             raise ValueError(f"{piece_file} has a piece that goes on over a blank or line feed")
+        self.a_bytes = [b""] * (256 + len(merged))
+        for name, i in ranks.items():
+            self.a_bytes[i] = name
         self.b_bytes = [bytes([int(t[3:5], 16)]) if self.pieces.is_byte(i) else t.replace(_MARK, " ").encode() for i, t in enumerate(texts)]
         self.a_size, self.b_size = np.array([len(x) for x in self.a_bytes]), np.array([len(x) for x in self.b_bytes])
         self.dot = self.pieces.encode(".")
-        self.clear()
-
-    def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.chars = 0
+        #: Of each stretch: its groups as text; tokens of both kinds, groups, links (-1 where the bytes differ); times used; scores.
         self.groups: list[bytes] = []
-        #: Of each stretch: tokens of both kinds, groups, links (-1 where the bytes differ), and where its pairs begin.
-        self.sizes = np.zeros((0, 4), np.int64)
+        self.sizes, self.used, self.scores = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
         self.pairs, self.begins = np.zeros(0, np.uint64), np.zeros(1, np.int64)
 
     def full(self) -> bool:
         return len(self.known) > STRETCHES or self.chars > STRETCH_CHARS
 
+    def trim(self) -> None:
+        """Forgets what was used least; the others are numbered anew."""
+        least, size, texts = 2, np.fromiter(map(len, self.known), np.int64, len(self.known)), list(self.known)
+        while (self.used >= least).sum() > STRETCHES // 2 or size[self.used >= least].sum() > STRETCH_CHARS // 2:
+            least *= 2
+        keep = np.flatnonzero(self.used >= least)
+        links = np.diff(self.begins)
+        self.pairs = self.pairs[np.repeat(self.used >= least, links)]
+        self.begins = np.concatenate(([0], np.cumsum(links[keep])))
+        self.scores = self.scores[keep[keep < len(self.scores)]]
+        self.sizes, self.used, self.chars = self.sizes[keep], np.zeros(len(keep), np.int64), int(size[keep].sum())
+        self.groups = [self.groups[i] for i in keep.tolist()]
+        self.known = {texts[i]: n for n, i in enumerate(keep.tolist())}
+
     def numbers(self, stretches: list[str]) -> np.ndarray:
         """The numbers of stretches, after aligning new ones."""
         known = self.known
         fresh = [s for s in dict.fromkeys(stretches) if s not in known]
         if fresh:
             self._align(fresh)
-        return np.fromiter(map(known.__getitem__, stretches), np.int64, len(stretches))
+        of = np.fromiter(map(known.__getitem__, stretches), np.int64, len(stretches))
+        self.used += np.bincount(of, minlength=len(self.used))
+        return of
 
     def _align(self, fresh: list[str]) -> None:
-        a = [x.ids for x in self.bpe.encode_batch(fresh, add_special_tokens=False)]
+        a = list(map(self.bpe.encode_ordinary, fresh))
         b = [x[len(self.dot) :] if x[: len(self.dot)] == self.dot else [] for x in self.pieces.encode(["." + s for s in fresh], num_threads=1)]
-        for i, s in enumerate(fresh):
-            self.known[s] = len(self.groups) + i
-            self.chars += len(s)
-            whole = s.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a[i])) != whole or b"".join(map(self.b_bytes.__getitem__, b[i])) != whole:
-                a[i] = b[i] = []
+        self.known.update(zip(fresh, range(len(self.groups), len(self.groups) + len(fresh))))
+        self.chars += sum(map(len, fresh))
+        whole = "".join(fresh).encode()
+        if any(b"".join(map(table.__getitem__, itertools.chain.from_iterable(ids))) != whole for table, ids in ((self.a_bytes, a), (self.b_bytes, b))):
+            for i, s in enumerate(fresh):
+                if any(b"".join(map(table.__getitem__, ids)) != s.encode() for table, ids in ((self.a_bytes, a[i]), (self.b_bytes, b[i]))):
+                    a[i] = b[i] = []
         ids_a, ids_b = (np.fromiter(itertools.chain.from_iterable(x), np.int64) for x in (a, b))
         n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
         end_a, end_b = np.cumsum(self.a_size[ids_a]), np.cumsum(self.b_size[ids_b])
-        ends = np.union1d(end_a, end_b)  # one link each
+        ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+        ends = ends[np.concatenate(([True], ends[1:] != ends[:-1]))] if len(ends) else ends  # one link each
         at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
         pairs = (ids_a[at_a].astype(np.uint64) << np.uint64(32)) | ids_b[at_b].astype(np.uint64)
-        of = np.repeat(np.arange(len(fresh)), n_a)[at_a]
-        shared_a = np.isin(end_a, end_b)
-        links = np.bincount(of, minlength=len(fresh))
-        groups = np.bincount(np.repeat(np.arange(len(fresh)), n_a)[shared_a], minlength=len(fresh))
-        sizes = np.stack([n_a, n_b, groups, np.where(n_a > 0, links, -1)], 1)
-        self.groups += _written(ids_a, ids_b, end_a, end_b, shared_a, n_a)
-        self.sizes = np.concatenate([self.sizes, sizes])
+        of = np.repeat(np.arange(len(fresh)), n_a)
+        upto_b = np.searchsorted(end_b, end_a, "right")
+        shared_a = end_b[np.maximum(upto_b - 1, 0)] == end_a if len(end_b) else np.zeros(0, bool)
+        links = np.bincount(of[at_a], minlength=len(fresh))
+        sizes = np.stack([n_a, n_b, np.bincount(of[shared_a], minlength=len(fresh)), np.where(n_a > 0, links, -1)], 1)
+        self.groups += _written(ids_a, ids_b, of, np.repeat(np.arange(len(fresh)), n_b), shared_a, upto_b, len(fresh))
+        self.sizes, self.used = np.concatenate([self.sizes, sizes]), np.concatenate([self.used, np.zeros(len(fresh), np.int64)])
         self.pairs, self.begins = np.concatenate([self.pairs, pairs]), np.concatenate([self.begins, self.begins[-1] + np.cumsum(links)])
 
 
-def _written(ids_a: np.ndarray, ids_b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray, shared: np.ndarray, n_a: np.ndarray) -> list[bytes]:
+def _written(ids_a: np.ndarray, ids_b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, shared: np.ndarray, upto_b: np.ndarray, count: int) -> list[bytes]:
     """The groups of each stretch as text: ids of one kind by commas, the kinds by a bar, groups by semicolons."""
-    close = np.flatnonzero(shared)
-    upto_a, upto_b = close + 1, np.searchsorted(end_b, end_a[close]) + 1
-    a, b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-    texts, i, j = [], 0, 0
-    for x, y in zip(upto_a.tolist(), upto_b.tolist()):
-        texts.append((a[i] if x == i + 1 else ",".join(a[i:x])) + "|" + (b[j] if y == j + 1 else ",".join(b[j:y])))
-        i, j = x, y
-    cut = np.concatenate(([0], np.searchsorted(upto_a, np.cumsum(n_a), "right"))).tolist()
-    return [";".join(texts[p:q]).encode() for p, q in zip(cut, cut[1:])]
+    if not len(ids_a):
+        return [b""] * count
+    group_a = np.cumsum(shared) - shared
+    last_b = np.zeros(len(ids_b), bool)
+    last_b[upto_b[shared] - 1] = True
+    group_b = np.cumsum(last_b) - last_b
+    order = np.lexsort((np.repeat([0, 1], [len(ids_a), len(ids_b)]), np.concatenate([group_a, group_b])))
+    ids, of = np.concatenate([ids_a, ids_b])[order], np.concatenate([of_a, of_b])[order]
+    after = np.concatenate([np.where(shared, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))])[order]
+    digits = 1 + (ids[:, None] >= 10 ** np.arange(1, 7)[None, :]).sum(1)
+    stop = np.cumsum(digits + 1)  # behind the mark that follows the digits
+    text = np.zeros(stop[-1], np.uint8)
+    text[stop - 1] = after
+    for j in range(int(digits.max())):
+        some = digits > j
+        text[stop[some] - 2 - j] = 0x30 + ids[some] // 10**j % 10
+    text = text.tobytes()
+    first = np.searchsorted(of, np.arange(count + 1)).tolist()
+    stop = [0, *stop.tolist()]
+    return [text[stop[p] : stop[q] - 1] if q > p else b"" for p, q in zip(first, first[1:])]
+
+
+_held: dict[tuple[str, str], Aligner] = {}
+
+
+def _aligner(byte_file: str, piece_file: str) -> Aligner:
+    """The worker's aligner: vocabularies are loaded once a process."""
+    if (byte_file, piece_file) not in _held:
+        _held[byte_file, piece_file] = Aligner(byte_file, piece_file)
+    found = _held[byte_file, piece_file]
+    found.scores = found.scores[:0]
+    return found
 
 
 def _aligned(aligner: Aligner, texts: list, forget) -> Iterator[list[tuple[int, np.ndarray]]]:
     """Lists of (row, numbers of stretches), about GROUP_CHARS of text at a time; rows that the tokens do not give back are left
-    out, and a text longer than that comes in several lists. forget() is called when the aligner is full; numbers end with it."""
+    out, and a text longer than that comes in several lists. forget() is called when the aligner is full; numbers change with it."""
     short: list[tuple[int, str]] = []
     size = 0
 
@@ -178,7 +226,7 @@ def counted(docs: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
     """First pass: pairs of ids with a hash and their links in texts of one part, and the part."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, part = Aligner(byte_file, piece_file), TaskContext.get().partitionId()
+        aligner, part = _aligner(byte_file, piece_file), TaskContext.get().partitionId()
         times, done = np.zeros(0, np.int64), []
 
         def flush() -> None:
@@ -188,11 +236,14 @@ def counted(docs: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
             n = np.bincount(inverse, weights, len(pairs)).astype(np.int64)
             pairs, n = pairs[n > 0], n[n > 0]
             done.append(pa.RecordBatch.from_pydict({"pair": pairs.astype(np.int64), "h": _hash(pairs).astype(np.int64), "n": n, "part": np.full(len(n), part)}))
-            aligner.clear()
             times = np.zeros(0, np.int64)
 
+        def forget() -> None:
+            flush()
+            aligner.trim()
+
         for batch in batches:
-            for rows in _aligned(aligner, batch.column("text").to_pylist(), flush):
+            for rows in _aligned(aligner, batch.column("text").to_pylist(), forget):
                 found = np.bincount(np.concatenate([np.zeros(0, np.int64), *(of for _, of in rows)]), minlength=len(aligner.groups))
                 found[: len(times)] += times
                 times = found
@@ -332,33 +383,26 @@ def _results(docs: DataFrame, byte_file: str, piece_file: str, table) -> DataFra
     """Second pass. With a broadcast Table its counts are looked up; without, each row carries its pairs and their links."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, found = Aligner(byte_file, piece_file), table and table.value
-        known = np.zeros((0, 2), np.int64)  # of each stretch: links with the highest count, sum of counts
-
-        def forget() -> None:
-            nonlocal known
-            aligner.clear()
-            known = np.zeros((0, 2), np.int64)
-
+        aligner, found = _aligner(byte_file, piece_file), table and table.value
         for batch in batches:
             sums, digests, pairs = np.zeros((batch.num_rows, 6), np.int64), {}, {}
-            for rows in _aligned(aligner, batch.column("text").to_pylist(), forget):
-                if found and len(known) < len(aligner.groups):
-                    from_, upto = len(known), len(aligner.groups)
+            for rows in _aligned(aligner, batch.column("text").to_pylist(), aligner.trim):
+                if found and len(aligner.scores) < len(aligner.groups):  # links with the highest count, sum of counts
+                    from_, upto = len(aligner.scores), len(aligner.groups)
                     fresh = aligner.pairs[aligner.begins[from_] :]
                     n = found(fresh)
                     of = np.repeat(np.arange(upto - from_), np.diff(aligner.begins[from_:]))
                     top = n == found.best[(fresh & np.uint64(0xFFFFFFFF)).astype(np.int64)]
                     total = np.zeros(upto - from_, np.int64)
                     np.add.at(total, of, n)
-                    known = np.concatenate([known, np.stack([np.bincount(of, top, upto - from_).astype(np.int64), total], 1)])
+                    aligner.scores = np.concatenate([aligner.scores, np.stack([np.bincount(of, top, upto - from_).astype(np.int64), total], 1)])
                 for row, of in rows:
                     sums[row, :4] += aligner.sizes[of].sum(0)
                     if row in digests:
                         digests[row].update(b";")
                     digests.setdefault(row, hashlib.sha256()).update(b";".join(map(aligner.groups.__getitem__, of.tolist())))
                     if found:
-                        sums[row, 4:] += known[of].sum(0)
+                        sums[row, 4:] += aligner.scores[of].sum(0)
                     else:
                         spans = [aligner.pairs[aligner.begins[i] : aligner.begins[i + 1]] for i in of.tolist()]
                         pairs.setdefault(row, []).append(np.concatenate(spans))
