@@ -29,7 +29,7 @@ from . import common
 
 TOP = 50
 #: Postings (different terms of documents) of a shard at which it is closed; one longer document still goes into one shard.
-SHARD_POSTINGS = 1 << 21
+SHARD_POSTINGS = 1 << 19
 #: Bytes of items' texts that one search carries to all shards.
 ITEM_BYTES = 4 << 20
 #: Ranges that are opened at a time.
@@ -99,7 +99,7 @@ def build(docs: DataFrame, some: int, every: int) -> DataFrame:
             n = np.diff(first)
             names, inverse = np.unique(h, return_inverse=True)
             key, tf = np.unique(np.repeat(np.arange(len(n)), n) * max(1, len(names)) + inverse, return_counts=True)
-            held.append((piece.column("doc_id"), n, names, key // max(1, len(names)) + rows, key % max(1, len(names)), tf))
+            held.append((piece.column("doc_id"), n, names, (key // max(1, len(names)) + rows).astype(np.int32), (key % max(1, len(names))).astype(np.int32), tf.astype(np.int32)))
             rows, size = rows + len(n), size + len(key)
             if size >= SHARD_POSTINGS:
                 yield shard(held)
@@ -117,7 +117,7 @@ def build(docs: DataFrame, some: int, every: int) -> DataFrame:
         column[order] = np.arange(len(order))
         terms = np.unique(np.concatenate([x[2] for x in held]))
         row = np.concatenate([np.searchsorted(terms, x[2])[x[4]] for x in held])
-        of, tf = np.concatenate([x[3] for x in held]), np.concatenate([x[5] for x in held])
+        of, tf = np.concatenate([x[3] for x in held]), np.concatenate([x[5] for x in held]).astype(np.int64)
         m = np.array([50 + 50 * int(k) * some // every for k in n], np.int64)
         wide, high = max(0, len(order) - 1).bit_length(), max(0, len(terms) - 1).bit_length()
         masks, drops = treap(row, column[of], 1_000_000_000 * tf // (1000 * tf + 20 * m[of]), max(wide, high))
@@ -147,8 +147,8 @@ class Tree:
         self.mask = np.zeros(inner + 1, np.uint8)
         self.mask[:inner] = masks[:inner]
         ones = _ONES[self.mask[:inner]]
-        self.first = np.concatenate((1 + np.cumsum(ones) - ones, [0]))
-        self.best = np.empty(len(drops) + 1, np.int64)  # the last one is the empty cell
+        self.first = np.concatenate((1 + np.cumsum(ones) - ones, [0])).astype(np.int32)
+        self.best = np.empty(len(drops) + 1, np.int32)  # the last one is the empty cell
         self.best[0], self.best[-1] = drops[0], 0
         at = 0
         for size, below in zip(sizes, sizes[1:]):
