@@ -9,9 +9,11 @@ without words have no spans; repeated rows give equal rows; other columns are no
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,8 @@ NOTICES = {
     "all rights reserved": "proprietary",
 }
 ERROR_EVERY = 10
+#: Surroundings of seeds whose search a text remembers, for each notice.
+REMEMBERED = 10_000
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(0x80, 0x100))
 _SPACED = bytes(b if b in _WORD else 0x20 for b in bytes(range(256)).lower())
 
@@ -60,20 +64,34 @@ def spans_of(joined: bytes) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     base = [(m.start(), m.end(), label) for last, pattern, label in phrases if last in joined for m in pattern.finditer(joined)]
     fuzzy = {}
     for label, size, errors, seeds, pattern in notices:
+        seen: dict[bytes, tuple[int, int, float] | None] = {}  # what was found in surroundings that were equal
         for seed, offset in seeds:
             at = joined.find(seed)
             while at >= 0:
                 low = max(0, at - offset - errors)
-                m = pattern.search(joined, low, min(len(joined), at - offset + size + errors))
-                if m and m.end() > m.start():
-                    key = (m.start(), m.end(), label)
-                    fuzzy[key] = max(fuzzy.get(key, 0.0), 1 - sum(m.fuzzy_counts) / size)
+                around = joined[low : max(0, at - offset + size + errors)]
+                if around not in seen:
+                    m = pattern.search(around)
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen[around] = (m.start(), m.end(), 1 - sum(m.fuzzy_counts) / size) if m and m.end() > m.start() else None
+                if hit := seen[around]:
+                    key = (low + hit[0], low + hit[1], label)
+                    fuzzy[key] = max(fuzzy.get(key, 0.0), hit[2])
                 at = joined.find(seed, at + 1)
-    kept: list[tuple[int, int, str, float]] = []
+    kept: list[tuple[int, int, str, float]] = []  # in order, none overlapping
     for (start, stop, label), like in sorted(fuzzy.items(), key=lambda x: (-x[1], x[0])):
-        if all(stop <= k[0] or k[1] <= start for k in kept):  # of overlapping notices the likest stays
-            kept.append((start, stop, label, like))
-    return sorted(base), sorted(kept)
+        at = bisect_left(kept, (start,))
+        if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or stop <= kept[at][0]):  # of overlapping notices the likest stays
+            kept.insert(at, (start, stop, label, like))
+    return sorted(base), kept
+
+
+def _placed(spans: list[tuple], names: tuple[str, ...], blanks: np.ndarray) -> list[dict]:
+    """Spans of bytes as spans of words, by the places of the blanks between words."""
+    starts = np.searchsorted(blanks, [s[0] for s in spans]).tolist()
+    stops = (np.searchsorted(blanks, [max(s[0], s[1] - 1) for s in spans]) + 1).tolist()
+    return [dict(zip(names, (a, b, *s[2:]), strict=True)) for a, b, s in zip(starts, stops, spans)]
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -90,10 +108,10 @@ def scan(docs: DataFrame) -> DataFrame:
                 words = raw[lo:hi].split()
                 joined = b" ".join(words)
                 base, fuzzy = spans_of(joined)
-                place = lambda a, b: (joined.count(b" ", 0, a), joined.count(b" ", 0, max(a, b - 1)) + 1)  # noqa: B023, E731
+                blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20) if base or fuzzy else np.zeros(0, int)
                 counts.append(len(words))
-                phrases.append([dict(zip(("start", "stop", "label"), (*place(a, b), label), strict=True)) for a, b, label in base])
-                notices.append([dict(zip(("start", "stop", "label", "likeness"), (*place(a, b), label, like), strict=True)) for a, b, label, like in fuzzy])
+                phrases.append(_placed(base, ("start", "stop", "label"), blanks))
+                notices.append(_placed(fuzzy, ("start", "stop", "label", "likeness"), blanks))
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(phrases, plain), pa.array(notices, graded)], ["doc_id", "n_words", "phrases", "notices"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
