@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orbitloom.llm import alignment, common, induced, lexical, queries, suffixes
+from orbitloom.llm import alignment, common, decontamination, induced, lexical, licenses, queries, suffixes
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, item_id long, score double, rank int"
@@ -220,3 +220,63 @@ def test_perfect_hash_has_no_gap():
 
 def test_registered():
     assert {"op11_suffix_dedup", "op12_lexical_search", "op13_alignment"} <= set(queries.QUERIES)
+
+
+def test_op2_short_items_flag_nothing_by_chance(spark):
+    docs = common.table(spark, DATA, "documents")
+    words = Counter(w for r in docs.select("text").collect() for w in set((r.text or "").lower().split()))
+    often, middling = words.most_common(1)[0][0], words.most_common(60)[-1][0]
+    text = next(r.text for r in docs.select("text").collect() if r.text and len(r.text.split()) > 200)
+    exact = " ".join(text.split()[100:108])
+    items = [(9001, often), (9002, middling), (9003, f"{often} {middling} {often}"), (9004, exact), (9005, " ".join(reversed(exact.split()))), (9006, None), (9007, "")]
+    benchmark = common.table(spark, DATA, "benchmark").unionByName(spark.createDataFrame(items, "item_id long, text string"))
+    found = decontamination.contaminated(docs, benchmark).collect()
+    hits = {i: {r.doc_id for r in found if r.item_id == i} for i in range(9001, 9008)}
+    assert not any(hits[i] for i in (9001, 9002, 9003, 9005, 9006, 9007)) and hits[9004]
+    want = {r.doc_id for r in docs.collect() if f" {exact.lower()} " in f" {' '.join((r.text or '').lower().split())} "}
+    assert hits[9004] == want
+    others = decontamination.contaminated(docs, common.table(spark, DATA, "benchmark")).collect()
+    assert {(r.doc_id, r.item_id) for r in others} <= {(r.doc_id, r.item_id) for r in found if r.item_id < 9000}
+
+
+def edits(pattern, text):
+    """The fewest edits that make the pattern some part of text."""
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        last, row = row, [i] + [0] * len(text)
+        for j, t in enumerate(text, 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (p != t))
+    return min(row)
+
+
+def test_op4_whole_query(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = []
+    for i in range(120):
+        parts = []
+        for _ in range(rng.randrange(6)):
+            letters = list(rng.choice([*licenses.NOTICES, *licenses.PHRASES]))
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(letters))
+                letters[at : at + 1] = rng.choice([[], ["q"], [letters[at], "z"]])
+            parts += ["".join(letters)] + [rng.choice(["Foo", "the;", "license", "é"]) for _ in range(rng.randrange(3))]
+        rows.append((i, " ".join(parts)))
+    rows += [(200, None), (201, ""), (202, "MIT License " * 40_000), (200, "mit  license")]
+    monkeypatch.setattr(common, "table", lambda *_: spark.createDataFrame(rows, "doc_id long, text string"))
+    found = sorted(licenses.op4_licenses(spark, "").collect(), key=lambda r: (r.doc_id, r.n_words))
+    assert len(found) == len(rows)
+    for r, (_, text) in zip(found, sorted(rows, key=lambda x: (x[0], len(x[1] or "")))):
+        low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        assert (r.n_words, r.n_base) == (len(words), len(places))
+        assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        base = {label for _, label in places}
+        assert r.base_labels == ",".join(sorted(base)) and base <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
+        if len(words) < 1000:
+            joined = " ".join(words)
+            near = {label for n, label in licenses.NOTICES.items() if edits(n, joined) <= len(n) // licenses.ERROR_EVERY}
+            assert set(filter(None, r.labels.split(","))) <= base | near  # nothing that is not there
+            spans = [(x.start, x.stop) for x in r.notices]
+            assert spans == sorted(spans) and (not near or spans)  # and something of each that is
+            assert all(a < b <= len(words) for a, b in spans)
