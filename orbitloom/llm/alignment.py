@@ -372,11 +372,14 @@ class Table:
         self.first, self.begin, self.best = np.cumsum(self.groups) - self.groups, np.cumsum(self.n) - self.n, best
 
     def __call__(self, pairs: np.ndarray) -> np.ndarray:
+        """The counts of pairs; 0 for those that are not in the corpus (a worker may remember stretches of others)."""
         bucket = (_hash(pairs) % np.uint64(len(self.n))).astype(np.int64)
+        there = self.n[bucket] > 0
+        found = np.zeros(len(pairs), np.int64)
+        pairs, bucket = pairs[there], bucket[there]
         slot = self.begin[bucket] + _slots(pairs, self.pilots, self.first[bucket], self.groups[bucket], self.n[bucket])
-        if not (self.keys[slot] == pairs).all():
-            raise ValueError("a pair was not counted in the first pass")
-        return self.counts[slot]
+        found[there] = np.where(self.keys[slot] == pairs, self.counts[slot], 0)
+        return found
 
 
 def _results(docs: DataFrame, byte_file: str, piece_file: str, table) -> DataFrame:
@@ -406,6 +409,8 @@ def _results(docs: DataFrame, byte_file: str, piece_file: str, table) -> DataFra
                     else:
                         spans = [aligner.pairs[aligner.begins[i] : aligner.begins[i + 1]] for i in of.tolist()]
                         pairs.setdefault(row, []).append(np.concatenate(spans))
+            if found and (sums[:, 5] < sums[:, 3]).any():
+                raise ValueError("a pair was not counted in the first pass")
             out = {"doc_id": batch.column("doc_id")} | {name: sums[:, i] for i, name in enumerate(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"))}
             out["groups_sha256"] = [digests[i].hexdigest() if i in digests else "" for i in range(batch.num_rows)]
             if not found:

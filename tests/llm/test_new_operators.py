@@ -280,3 +280,11 @@ def test_op4_whole_query(spark, monkeypatch):
             spans = [(x.start, x.stop) for x in r.notices]
             assert spans == sorted(spans) and (not near or spans)  # and something of each that is
             assert all(a < b <= len(words) for a, b in spans)
+
+
+def test_op13_workers_remember_stretches_of_other_tables(spark, docs):
+    """A smaller table after a larger one, in the same workers."""
+    alignment.align(docs)
+    few = [(1, "the cat"), (2, "a dog the cat"), (3, None)]
+    found = alignment.align(spark.createDataFrame(few, "doc_id long, text string").coalesce(1))
+    assert sorted(map(tuple, found.collect()), key=str) == aligned(few)
