@@ -395,7 +395,8 @@ def _results(docs: DataFrame, byte_file: str, piece_file: str, table) -> DataFra
                     fresh = aligner.pairs[aligner.begins[from_] :]
                     n = found(fresh)
                     of = np.repeat(np.arange(upto - from_), np.diff(aligner.begins[from_:]))
-                    top = n == found.best[(fresh & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+                    ids = (fresh & np.uint64(0xFFFFFFFF)).astype(np.int64)  # those beyond best are of other tables only
+                    top = n == found.best[np.minimum(ids, len(found.best) - 1)]
                     total = np.zeros(upto - from_, np.int64)
                     np.add.at(total, of, n)
                     aligner.scores = np.concatenate([aligner.scores, np.stack([np.bincount(of, top, upto - from_).astype(np.int64), total], 1)])
