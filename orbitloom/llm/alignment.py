@@ -40,7 +40,7 @@ from . import common
 BYTE_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Aligned stretches that a worker remembers, their characters, characters of texts and stretches of a long text that are taken at a time.
-STRETCHES, STRETCH_CHARS, GROUP_CHARS, SLICE = 800_000, 16 << 20, 1 << 18, 50_000
+STRETCHES, STRETCH_CHARS, GROUP_CHARS, SLICE = 800_000, 16 << 20, 1 << 20, 50_000
 #: Pairs of a bucket on average, vectors that are summed at a time, and the pairs whose counts are sent to all workers.
 BUCKET, FAN, TABLE_PAIRS = 4096, 64, 1 << 22
 _MARK = "▁"
