@@ -29,7 +29,7 @@ from . import common
 
 TOP = 50
 #: Postings (different terms of documents) of a shard at which it is closed; one longer document still goes into one shard.
-SHARD_POSTINGS = 1 << 19
+SHARD_POSTINGS = 1 << 18
 #: Bytes of items' texts that one search carries to all shards.
 ITEM_BYTES = 4 << 20
 #: Ranges that are opened at a time.

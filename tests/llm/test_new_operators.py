@@ -110,7 +110,7 @@ def ranked(rows, items, top=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("postings", [1 << 19, 300, 1])
+@pytest.mark.parametrize("postings", [1 << 18, 300, 1])
 def test_op12(spark, rows, docs, monkeypatch, postings):
     items = [(r.item_id, r.text) for r in common.table(spark, DATA, "benchmark").collect()][:12] + [(None, "the eresan THE"), (50, None), (51, "..."), (1, "the"), (1, "the"), (52, "nowhere9")]
     asked = spark.createDataFrame([(a, b, 1) for a, b in items], "item_id long, text string, doc_id long")
