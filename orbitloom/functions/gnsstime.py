@@ -13,6 +13,8 @@ EPOCH_GPS_S = {0: 0, 2: 619315200, 3: 820108814, 5: 0, 7: 619315200}
 LEAP_S = 18
 ROLLOVER_GRACE_S = 14400
 MOSCOW_S = 10800
+# Seconds that a row may be late to be live, and that an observer's clock may be ahead.
+LIVE_S, LEAD_S = 2, 1
 
 
 def system_seconds(gnss: Column, unix: Column, leap: int = LEAP_S) -> Column:
@@ -73,3 +75,21 @@ def utc_offset(a0: Column, a1: Column, a2: Column, now: Column, reference: Colum
     """Broadcast offset from UTC in seconds at a system time: polynomial and leap seconds, the next ones from the end of their day on."""
     dt = now - reference
     return F.when(now >= leap_week * WEEK_S + (leap_day + 1) * 86400, next_leap).otherwise(leap) + a0 + a1 * dt + a2 * dt * dt
+
+
+def galileo_gps_offset(a0: Column, a1: Column, t0: Column, week0: Column, unix: Column, leap: int = LEAP_S) -> Column:
+    """Nanoseconds between Galileo and GPS time at an instant, from the broadcast offset, rate, reference second and 6-bit reference week."""
+    now = system_seconds(F.lit(2), unix, leap)
+    then = full_week(week0, 6, now) * WEEK_S + t0
+    return (a0 + a1 * (now - then)) * 1e9
+
+
+def utc_reference(received: Column, local: Column, stamped: Column, network: Column) -> tuple[Column, Column]:
+    """The instant (Unix seconds) that a solution's UTC is held against, null if none can be trusted, and whether it is the collector's own clock.
+
+    local: the collector's clock at receipt, null for a connection whose received is that clock already; stamped: the observer stamped the row;
+    network: the stamp comes from a clock that does not follow the satellites. A row at most LIVE_S old counts as live."""
+    lag = local - received
+    live = local.isNull() | (stamped & (lag >= -LEAD_S) & (lag <= LIVE_S))
+    stamp = F.when(local.isNull(), received).when(~stamped | (lag < -LEAD_S), None).when(lag <= LIVE_S, local).when(network, received)
+    return stamp, F.coalesce(live, F.lit(False))
