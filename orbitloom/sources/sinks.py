@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import types as T
 
 WEEK_S = 604800
 
@@ -24,22 +24,28 @@ def fresh(receipts: DataFrame, ledger: DataFrame | None, key: list[str], order:
     return first.select(*receipts.columns).unionByName(receipts.filter(~whole))
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # nothing stored yet
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """Rows written so far; None only where nothing is there, so that a table that cannot be read is an error. The schema keeps partition
+    values what they were: names like 01 would be read back as numbers."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return None
+    return spark.read.schema(schema).parquet(path)
 
 
-def append_receipts(receipts: DataFrame, path: str, key: list[str], order: list[str], batch: str, partition: str) -> None:
+def append_receipts(receipts: DataFrame, path: str, key: list[str], order: list[str], batch: str, partition: str, since: object = None) -> None:
     """Appends a batch of receipts that were not stored before.
 
     The stored rows are the claims, so one write both stores and claims. Each batch owns the directories of its name, which
-    a repeat of the batch (after a lost driver) overwrites: it is compared with the other batches only."""
+    a repeat of the batch (after a lost driver) overwrites: it is compared with the other batches only. With since, claims are kept from that
+    value of the partition column on (K6): older partitions are not read, and what they hold may be stored again."""
     spark = receipts.sparkSession
-    before = _stored(spark, path)
+    columns = [*receipts.schema.fields, T.StructField("batch", T.StringType())]
+    before = _stored(spark, path, T.StructType([T.StructField(f.name, f.dataType) for f in columns]))
     if before is not None:
         before = before.filter(F.col("batch") != batch)
+        if since is not None:
+            before = before.filter(F.col(partition) >= F.lit(since))
     rows = fresh(receipts, before, key, order).withColumn("batch", F.lit(batch))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", partition).parquet(path)
 

@@ -1,5 +1,6 @@
 """Scans and sinks that fail loudly or write."""
 
+import os
 import tempfile
 
 import pytest
@@ -37,6 +38,36 @@ def test_append_once(spark):
     assert stored() == want
 
 
+def test_append_under_names_like_numbers(spark):
+    path = "file://" + tempfile.mkdtemp(prefix="spark-") + "/receipts"
+    batch = spark.createDataFrame([("a", 1, 1, "01"), ("a", 2, 2, "1")], "source string, seq long, place long, day string")
+    for name in ("1", "01", "1.0", "1"):
+        sinks.append_receipts(batch, path, ["source", "seq"], ["place"], name, "day")
+    stored = spark.read.schema("source string, seq long, place long, batch string, day string").parquet(path).collect()
+    assert sorted((r.seq, r.batch, r.day) for r in stored) == [(1, "1", "01"), (2, "1", "1")]
+
+
+def test_append_reads_claims_since(spark):
+    path = "file://" + tempfile.mkdtemp(prefix="spark-") + "/receipts"
+    batch = lambda day: spark.createDataFrame([("a", 1, 1, day)], "source string, seq long, place long, day string")
+    put = lambda day, name, since: sinks.append_receipts(batch(day), path, ["source", "seq"], ["place"], name, "day", since)
+    put("2024-01-01", "one", None)
+    put("2024-01-05", "two", "2024-01-01")
+    assert spark.read.parquet(path).count() == 1  # claimed within the horizon
+    put("2024-01-09", "three", "2024-01-02")
+    assert spark.read.parquet(path).count() == 2  # the claim was older than the horizon
+
+
+def test_append_to_broken_table_fails(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    os.makedirs(folder + "/receipts/batch=one/day=d")
+    with open(folder + "/receipts/batch=one/day=d/part-0.parquet", "w") as f:
+        f.write("no parquet")
+    batch = spark.createDataFrame([("a", 1, 1, "d")], "source string, seq long, place long, day string")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        sinks.append_receipts(batch, "file://" + folder + "/receipts", ["source", "seq"], ["place"], "two", "day")
+
+
 def test_rewrite_and_retention(spark):
     path = "file://" + tempfile.mkdtemp(prefix="spark-") + "/days"
     rows = spark.sql("select date_add(date'2024-01-01', cast(id % 10 as int)) as day, id % 3 as source, id from range(60)")
