@@ -67,11 +67,20 @@ def regression(rows: DataFrame, keys: list[str], x: str, y: str, least: int = 5)
     )
 
 
-def nearest_rank(rows: DataFrame, key: str, value: str, percents: list[int]) -> DataFrame:
-    """Nearest-rank percentiles (rank = floor(n * p / 100 + 0.5), from 1 to n) and the largest value."""
-    ranked = rows.withColumns({"_rank": F.row_number().over(Window.partitionBy(key).orderBy(value, "seq")), "_n": F.count("*").over(Window.partitionBy(key))})
+def nearest_rank(rows: DataFrame, key: str, value: str, percents: list[int], shares: list[float] | None = None) -> DataFrame:
+    """Nearest-rank percentiles (rank = floor(n * p / 100 + 0.5), from 1 to n) and the largest value; with shares, also how many values are
+    absent (null, not counted in n) and which percent of n reaches each of the limits.
+
+    Rows are counted per value before any sort, so a window sees each distinct value of a key once."""
+    counted = rows.groupBy(key, value).agg(F.count("*").alias("_c"))
+    there = F.when(F.col(value).isNotNull(), F.col("_c")).otherwise(0)
+    order = Window.partitionBy(key).orderBy(F.asc_nulls_first(value))
+    ranked = counted.withColumn("_r", F.sum(there).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum(there).over(Window.partitionBy(key)))
     at = {p: F.least(F.greatest(F.floor(F.col("_n") * p / 100 + 0.5), F.lit(1)), F.col("_n")) for p in percents}
-    return ranked.groupBy(key).agg(F.count("*").alias("n"), *[F.round(F.max(F.when(F.col("_rank") == at[p], F.col(value))), 6).alias(f"p{p}") for p in percents], F.round(F.max(value), 6).alias("largest"))
+    inside = lambda p: (F.col("_r") >= at[p]) & (F.col("_r") - there < at[p])
+    more = [] if shares is None else [F.sum(F.when(F.col(value).isNull(), F.col("_c")).otherwise(0)).alias("absent")]
+    more += [F.round(100 * F.sum(F.when(F.col(value) >= s, F.col("_c")).otherwise(0)) / F.nullif(F.sum(there), F.lit(0)), 6).alias(f"share{i}") for i, s in enumerate(shares or [], 1)]
+    return ranked.groupBy(key).agg(F.sum(there).alias("n"), *[F.round(F.max(F.when(inside(p), F.col(value))), 6).alias(f"p{p}") for p in percents], F.round(F.max(value), 6).alias("largest"), *more)
 
 
 def minute_medians(rows: DataFrame, key: str, time: str, value: str, least: int, most: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orbitloom.functions import grades
 from orbitloom.functions.atmosphere import log_pressure_rate
-from orbitloom.operators import checks, coverage, joins, scope
+from orbitloom.operators import checks, coverage, joins, scope, series
 from orbitloom.operators.epochs import deferrals
 from orbitloom.operators.tables import event_stream, table, with_state
 from orbitloom.plans.queries import said, t
@@ -305,3 +305,10 @@ def t10_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     limit = F.when(F.col("type") == "view", _DAY // 2).when(F.col("type") == "error", _DAY).otherwise(3 * _DAY)
     latest = events.groupBy("subject", "type").agg(F.max("time").alias("at")).join(now)
     return latest.select("subject", "type", F.when((F.unix_micros("now") - F.unix_micros("at")) / 1e6 <= limit, "kept").otherwise("expired").alias("fate"))
+
+
+@query("with $OBS, v as (select gnss, case when seq % 5 <> 0 then floor(value * 2) / 2 end as value from obs), r as (select *, row_number() over (partition by gnss order by value) as k, count(value) over (partition by gnss) as n from v where value is not null) select v.gnss, count(v.value) as n, any_value(r50.value) as p50, any_value(r95.value) as p95, max(v.value) as largest, count(*) - count(v.value) as absent, round(100 * count(*) filter (where v.value >= 10) / count(v.value), 6) as share1, round(100 * count(*) filter (where v.value >= 25.5) / count(v.value), 6) as share2 from v join r r50 on r50.gnss = v.gnss and r50.k = least(greatest(floor(r50.n * 50 / 100 + 0.5), 1), r50.n) join r r95 on r95.gnss = v.gnss and r95.k = least(greatest(floor(r95.n * 95 / 100 + 0.5), 1), r95.n) group by 1")
+def a15_discontinuities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jumps by constellation: percentiles, the largest, absent ones and the shares that reach two limits."""
+    rows = observations(spark, sf_dir).select("gnss", F.when(F.col("seq") % 5 != 0, F.floor(F.col("value") * 2) / 2).alias("value"))
+    return series.nearest_rank(rows, "gnss", "value", [50, 95], [10, 25.5])

@@ -90,3 +90,9 @@ def test_joins_keep_whole_rows(spark):
     assert [(r["asof_seq"], r["asof_v"]) for r in got] == [(7, None)] * 2  # one right row, not a mix, and of equal times the larger
     near = joins.nearest(left.select("k", "t"), right.select("k", F.col("seq").alias("n"), F.col("t").alias("rt")), "k", "t", "rt", 60, ["n"], "n")
     assert [r["n"] for r in near.collect()] == [9, 9]
+
+
+def test_nearest_rank_with_absent(spark):
+    rows = spark.createDataFrame([("a", v) for v in (1.0, 2.0, 2.0, 2.0, 9.0, None)] + [("b", None), ("b", None)], "k string, v double")
+    got = {r.k: tuple(r)[1:] for r in series.nearest_rank(rows, "k", "v", [50, 95], [2.0, 9.5]).collect()}
+    assert got == {"a": (5, 2.0, 9.0, 9.0, 1, 80.0, 0.0), "b": (0, None, None, None, 2, None, None)}
