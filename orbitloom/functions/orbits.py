@@ -22,6 +22,10 @@ STEP_S, SPAN_S, MOST_ECCENTRIC = 60.0, 172800.0, 0.25
 CORRECTIONS = ["delta_n", "delta_n_dot", "a_dot", "i_dot", "cuc", "cus", "crc", "crs", "cic", "cis"]
 
 
+#: Names that with_kepler uses between its steps.
+HELPERS = ["_mu", "_we", "_tk", "_a", "_m", "_ea", "_phi", "_s", "_c", "_u", "_r", "_i", "_n", "_x", "_y", "_px", "_py", "_pz"]
+
+
 def _by(values: dict[int, float]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(v) for pair in values.items() for v in pair]), F.col("gnss").cast("int"))
 
@@ -30,6 +34,9 @@ def with_kepler(rows: DataFrame, at: str, steps: int = 15) -> DataFrame:
     """rows (gnss, sv, toe, sqrt_a, e, m0, i0, omega0, omega, omega_dot and corrections) with position: x, y, z in metres, earth-fixed, at a
     second of the week, the eccentric anomaly and the time since toe; null for other constellations and elements out of range."""
     names = rows.columns
+    clash = sorted(set(names) & {*HELPERS, *(f"_{c}" for c in CORRECTIONS)})
+    if clash:
+        raise ValueError(f"columns with names of helpers: {', '.join(clash)}")
     mine = rows.withColumns({f"_{c}": F.coalesce(F.col(c), F.lit(0.0)) if c in names else F.lit(0.0) for c in CORRECTIONS}).withColumns({"_mu": _by(GRAVITY), "_we": _by(ROTATION), "_tk": wrapped_age(F.col(at), F.col("toe"))})
     a = F.col("sqrt_a") * F.col("sqrt_a")
     first = mine.withColumns({"_a": a + F.col("_a_dot") * F.col("_tk"), "_m": F.col("m0") + (F.sqrt(F.col("_mu") / (a * a * a)) + F.col("_delta_n") + 0.5 * F.col("_delta_n_dot") * F.col("_tk")) * F.col("_tk")})

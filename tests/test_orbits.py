@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from orbitloom.functions import orbits
@@ -52,3 +53,8 @@ def test_elements_out_of_range(spark):
     assert of(g=6) is None and of(a=0.0) is None and of(e=0.25) is None and of(e=-0.1) is None
     p = of()
     assert abs(math.sqrt(p.x**2 + p.y**2 + p.z**2) - 5153.0**2 * (1 - 0.01 * math.cos(p.ea))) < 1e-3
+
+
+def test_helper_names_are_refused(spark):
+    with pytest.raises(ValueError, match="_a, _i"):
+        orbits.with_kepler(spark.sql("select 1 as _i, 2 as _a, 0 as gnss"), "t")
