@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,34 +67,43 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _rates(s: Column, pull: list[Column]) -> Column:
-    """Change per second of (x, y, z, vx, vy, vz) in km."""
-    x, y, z, vx, vy, vz = [s[i] for i in range(6)]
-
-    def accelerations(r2: Column) -> Column:
-        near = -MU_KM / (r2 * F.sqrt(r2))
-        bulge = -1.5 * J2 * MU_KM * RADIUS_KM**2 / (r2 * r2 * F.sqrt(r2))
-        w = ROTATION_GLONASS
-        flat = 1 - 5 * z * z / r2
-        return F.array(vx, vy, vz, x * (near + bulge * flat + w * w) + 2 * w * vy + pull[0], y * (near + bulge * flat + w * w) - 2 * w * vx + pull[1], z * (near + bulge * (flat + 2)) + pull[2])
-
-    return let(x * x + y * y + z * z, accelerations)
+def _rates(s: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    """Change per second of states (x, y, z, vx, vy, vz in km by rows, one column to a state)."""
+    x, y, z, vx, vy, vz = s
+    r2 = x * x + y * y + z * z
+    near = -MU_KM / (r2 * np.sqrt(r2))
+    bulge = -1.5 * J2 * MU_KM * RADIUS_KM**2 / (r2 * r2 * np.sqrt(r2))
+    w = ROTATION_GLONASS
+    flat = 1 - 5 * z * z / r2
+    return np.stack([vx, vy, vz, x * (near + bulge * flat + w * w) + 2 * w * vy + pull[0], y * (near + bulge * flat + w * w) - 2 * w * vx + pull[1], z * (near + bulge * (flat + 2)) + pull[2]])
+
+
+def _moved(*columns: pd.Series) -> pd.Series:
+    """Places of a batch of states (6 columns), pulls (3) and seconds: all states go one step together, those with most steps first, so the rest drop off."""
+    data = np.array([c.to_numpy(np.float64, na_value=np.nan) for c in columns])
+    ready = np.flatnonzero(~np.isnan(data).any(axis=0))
+    steps = np.maximum(np.ceil(np.abs(data[9, ready]) / STEP_S), 1).astype(np.int64)
+    order = ready[np.argsort(-steps, kind="stable")]
+    steps = np.sort(steps)[::-1]
+    s, pull, h = data[:6, order], data[6:9, order], data[9, order] / steps
+    with np.errstate(all="ignore"):
+        for i in range(steps[0] if len(steps) else 0):
+            n = np.searchsorted(-steps, -i)  # states that have more than i steps
+            now, j, d = s[:, :n], pull[:, :n], h[:n]
+            k1 = _rates(now, j)
+            k2 = _rates(now + k1 * (d / 2), j)
+            k3 = _rates(now + k2 * (d / 2), j)
+            k4 = _rates(now + k3 * d, j)
+            s[:, :n] = now + ((k1 + k4) + (2 * k2 + 2 * k3)) * (d / 6)
+    places: list[list[float] | None] = [None] * data.shape[1]
+    for i, place in zip(order.tolist(), (s[:3] * 1000).T.tolist()):
+        places[i] = place
+    return pd.Series(places, dtype=object)
 
 
 def integrated(state: list[Column], pull: list[Column], tk: Column) -> Column:
     """Position (x, y, z in metres) of a GLONASS state (km, km/s, pull in km/s²) tk seconds later, by Runge-Kutta steps of at most a
-    minute; null beyond two days, and for a state without a place."""
-    n = F.greatest(F.ceil(F.abs(tk) / STEP_S), F.lit(1))
-    h = tk / n
-    moved = lambda s, k, f: F.zip_with(s, k, lambda a, b: a + b * f)
-
-    def step(s: Column, _: Column) -> Column:
-        def mixed(k1: Column, k2: Column, k3: Column, k4: Column) -> Column:
-            inner = F.zip_with(k2, k3, lambda a, b: 2 * a + 2 * b)
-            return moved(s, F.zip_with(F.zip_with(k1, k4, lambda a, b: a + b), inner, lambda a, b: a + b), h / 6)
-
-        return let(_rates(s, pull), lambda k1: let(_rates(moved(s, k1, h / 2), pull), lambda k2: let(_rates(moved(s, k2, h / 2), pull), lambda k3: let(_rates(moved(s, k3, h), pull), lambda k4: mixed(k1, k2, k3, k4)))))
-
-    end = F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.array(*[c.cast("double") for c in state]), step)
+    minute; null beyond two days, and for a state without a place. Batches of rows are stepped together in numpy."""
     far = F.sqrt(sum(c * c for c in state[:3])) >= 1
-    return F.when((F.abs(tk) <= SPAN_S) & far, F.transform(F.slice(end, 1, 3), lambda v: v * 1000))
+    span = F.when((F.abs(tk) <= SPAN_S) & far, tk)  # rows without one are not stepped
+    return F.pandas_udf(_moved, "array<double>")(*[c.cast("double") for c in (*state, *pull, span)])

@@ -1,6 +1,7 @@
 """Propagation against plain Python, and its guards."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,21 @@ def test_guards(spark):
     assert at(172801) is None and at(60, lits(0.1, 0, 0, 1, 1, 1)) is None
 
 
+def test_long_spans_of_many_states(spark):
+    """2,880 steps of each of 1,000 states, with spans of both directions, a state without a place and an unknown span between them."""
+    lits = lambda *v: [F.lit(float(x)) for x in v]
+    k = F.col("id")
+    tk = F.when(k == 7, None).when(k == 8, 172801.0).when(k % 2 == 0, 172800.0 - k).otherwise(-60.0 * k)
+    state = [F.when(k == 9, 0.1).otherwise(25500.0 - k), *lits(0, 0, 0, 2, 3)]
+    began = time.time()
+    got = [r[0] for r in spark.range(0, 1000, 1, 1).select(orbits.integrated(state, lits(0, 1e-9, -1e-9), tk)).collect()]
+    assert time.time() - began < 60
+    assert [i for i, p in enumerate(got) if p is None] == [7, 8, 9]
+    for i in (0, 1, 10, 11, 998, 999):
+        want = plain([25500.0 - i, 0, 0, 0, 2, 3], [0, 1e-9, -1e-9], 172800.0 - i if i % 2 == 0 else -60.0 * i)
+        assert max(abs(a - b) for a, b in zip(got[i], want)) < 0.01
+
+
 def test_elements_out_of_range(spark):
     row = "select {g} as gnss, 1 as sv, 0.0d as toe, {a}d as sqrt_a, {e}d as e, 1.0d as m0, 1.0d as i0, 0.0d as omega0, 0.0d as omega, 0.0d as omega_dot, 100.0d as t"
     of = lambda g=0, a=5153.0, e=0.01: orbits.with_kepler(spark.sql(row.format(g=g, a=a, e=e)), "t").first().position
