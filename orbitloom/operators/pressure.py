@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitloom.functions.atmosphere import combined, log_pressure_rate, pressure_height
@@ -20,34 +20,35 @@ def tendencies(rows: DataFrame, window_s: int, skew_s: int) -> DataFrame:
     return rated.withColumn("rate_sigma", combined(F.col("_s") / F.col("_p"), F.col("sigma") / F.col("pascal")) / span).drop("_aim", "_p", "_s")
 
 
-def close_pairs(places: DataFrame, radius: float) -> DataFrame:
-    """station, other, gap: pairs of places (station, x, y, z) within the radius, both ways. Cubes as wide as the radius make it an equi join."""
-    cell = [F.floor(F.col(c) / radius).alias(f"_c{c}") for c in "xyz"]
-    homes = places.select(F.col("station").alias("other"), *[F.col(c).alias(f"_o{c}") for c in "xyz"], *cell)
-    looks = places.select("station", *[F.col(c) for c in "xyz"], *cell)
-    for c in "xyz":
-        looks = looks.withColumn(f"_c{c}", F.explode(F.sequence(F.col(f"_c{c}") - 1, F.col(f"_c{c}") + 1)))
-    gap = combined(*[F.col(c) - F.col(f"_o{c}") for c in "xyz"])
-    return looks.join(homes, ["_cx", "_cy", "_cz"]).withColumn("gap", gap).filter((F.col("gap") <= radius) & (F.col("station") != F.col("other"))).select("station", "other", "gap")
-
-
 def regional(rows: DataFrame, places: DataFrame, window_s: int, skew_s: int, radius: float, max_age_s: float, least: int) -> DataFrame:
     """Each sample with a tendency (station, seq, time, pascal, sigma, start, start_at, rate, rate_sigma) beside what its neighbours say: neighbours,
     region_rate (median), region_spread, region_sigma, max_age, max_gap; null figures and a reason with fewer than least of them.
 
     A neighbour counts with its newest sample up to then, if that is young enough, has a tendency, and the tendency began about when this one
-    did. A sample goes once to each station around it, and one running last value for each station finds all the newest samples."""
-    own = tendencies(rows, window_s, skew_s)
-    placed = own.join(places.select("station"), "station")
-    theirs = rows.select("station", "seq", "time").join(own.select("station", "seq", "start_at", "rate", "rate_sigma"), ["station", "seq"], "left").withColumnRenamed("station", "other")
-    asks = placed.join(close_pairs(places, radius), "station").select("other", "station", "time", F.col("seq").alias("asks"), F.col("start_at").alias("began"), "gap")
-    met = joins.as_of(asks, theirs, "other", "time", ["seq", "start_at", "rate", "rate_sigma"])
-    age = (F.unix_micros("time") - F.unix_micros("asof_time")) / 1e6
-    apart = F.abs(F.unix_micros("asof_start_at") - F.unix_micros("began")) / 1e6
-    fit = met.withColumn("age", age).filter((F.col("age") <= max_age_s) & F.col("asof_rate").isNotNull() & (apart <= max_age_s))
-    found = fit.groupBy("station", F.col("asks").alias("seq")).agg(
-        F.count("*").alias("neighbours"), F.median("asof_rate").alias("region_rate"), F.min("asof_rate").alias("_lo"), F.max("asof_rate").alias("_hi"), F.max("asof_rate_sigma").alias("region_sigma"), F.max("age").alias("max_age"), F.max("gap").alias("max_gap")
-    )
+    did. So a sample speaks from its time until its station's next one, max_age_s at most: samples go to the cells around them and to the stretches of
+    max_age_s that they speak in, and meet there only what can count, with no row for a neighbour that is silent or too old."""
+    after = F.lead("time").over(Window.partitionBy("station").orderBy("time", "seq"))
+    own = tendencies(rows.withColumn("_until", after), window_s, skew_s)
+    placed = own.join(places, "station")
+    cell = {f"_c{c}": F.floor(F.col(c) / radius) for c in "xyz"}
+    stretch = lambda us: F.floor(us / (max_age_s * 1_000_000))
+    us, last = F.unix_micros("time"), F.unix_micros("time") + F.lit(int(max_age_s * 1_000_000))
+    asks = placed.select("station", "seq", us.alias("_at"), F.unix_micros("start_at").alias("_began"), *"xyz", *[v.alias(k) for k, v in cell.items()], stretch(us).alias("_when"))
+    until = F.coalesce(F.unix_micros("_until"), last + 1)  # the next sample of the same time or a later one takes over
+    theirs = placed.filter(us < until).select(F.col("station").alias("_other"), us.alias("_from"), until.alias("_until"), F.unix_micros("start_at").alias("_start"), "rate", "rate_sigma", *[F.col(c).alias(f"_o{c}") for c in "xyz"], *[v.alias(k) for k, v in cell.items()],
+                                                    F.explode(F.sequence(stretch(us), stretch(F.least(last, until)))).alias("_when"))
+    for c in "xyz":
+        theirs = theirs.withColumn(f"_c{c}", F.explode(F.sequence(F.col(f"_c{c}") - 1, F.col(f"_c{c}") + 1)))
+    keys = ["_cx", "_cy", "_cz", "_when"]
+    gap = combined(*[F.col(c) - F.col(f"_o{c}") for c in "xyz"])
+    age = (F.col("_at") - F.col("_from")) / 1e6
+    apart = F.abs(F.col("_start") - F.col("_began")) / 1e6
+    met = asks.join(theirs, keys).filter((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_until")) & (age <= max_age_s) & (apart <= max_age_s) & (F.col("station") != F.col("_other")))
+    fit = met.withColumn("gap", gap).filter(F.col("gap") <= radius).withColumn("age", age)
+    placed = placed.select(*[c for c in own.columns if c != "_until"])
+    found = fit.groupBy(*keys, "station", "seq").agg(  # all pairs of a sample are in one task of the join
+        F.count("*").alias("neighbours"), F.median("rate").alias("region_rate"), F.min("rate").alias("_lo"), F.max("rate").alias("_hi"), F.max("rate_sigma").alias("region_sigma"), F.max("age").alias("max_age"), F.max("gap").alias("max_gap")
+    ).drop(*keys)
     spread = F.greatest(F.col("_hi") - F.col("region_rate"), F.col("region_rate") - F.col("_lo"))
     both = placed.join(found, ["station", "seq"], "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0))).withColumn("region_spread", spread)
     enough = F.col("neighbours") >= least

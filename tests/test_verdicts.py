@@ -132,6 +132,36 @@ def test_pressure(spark):
     assert pressure.regional(samples.limit(0), places, 1800, 360, 1e5, 660, 2).count() == 0
 
 
+def test_silent_neighbours_make_no_rows(spark):
+    """4,000 stations in one place, a hundred of which speak in turn: the pairs of all stations would be 16 million."""
+    rows = at(spark, [(i % 100, i, 60.0 * i, 1e5 + i % 7, 5.0) for i in range(400)], "station int, seq long, time timestamp, pascal double, sigma double")
+    places = spark.range(4000).selectExpr("int(id) as station", "0d as x", "0d as y", "0d as z")
+    context = pressure.regional(rows, places, 6000, 60, 1e4, 600, 2)
+    got = {r.seq: r for r in context.collect()}
+    assert len(got) == 300 and {r.neighbours for r in got.values()} == {*range(11)}  # those of the last ten minutes, which began as long ago
+    assert all((r.reason is None) == (r.neighbours >= 2) for r in got.values()) and max(r.max_age or 0 for r in got.values()) == 600
+    most = max(m.value() for m in _row_counts(context))
+    assert most < 20_000
+
+
+def _row_counts(df):
+    """Rows that each node of a query has put out."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan, found = plan.finalPhysicalPlan() if hasattr(plan, "finalPhysicalPlan") else plan, []
+
+    def walk(node):
+        if node.metrics().contains("numOutputRows"):
+            found.append(node.metrics().apply("numOutputRows"))
+        if "QueryStage" in node.getClass().getSimpleName():
+            walk(node.plan())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(plan)
+    return found
+
+
 def test_clock_that_is_trusted(spark):
     rows = spark.createDataFrame([(10.0, None, False, True), (10.0, 11.5, True, False), (10.0, 8.0, True, True), (10.0, 50.0, True, True), (10.0, 50.0, True, False), (10.0, 11.0, False, True)], "r double, l double, s boolean, n boolean")
     stamp, own = gnsstime.utc_reference(*[F.col(c) for c in "rlsn"])
