@@ -22,10 +22,12 @@ def search(events: DataFrame, types: list[str] | None = None, min_severity: int
     return newest.join(total, "audience")
 
 
-def page(events: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """A page of events (1 to 500, at most 100,000 from the newest), newest first, beside the total of all; a page beyond the end is one row with the total and nulls."""
+def page(events: DataFrame, limit: int, offset: int = 0, deepest: int = 100_000) -> DataFrame:
+    """A page of events (1 to 500, at most `deepest` from the newest), newest first, beside the total of all; a page beyond the end is one row with the total and nulls."""
     total = events.agg(F.count("*").alias("total")).withColumn("_one", F.lit(1))
-    newest = events.orderBy(F.desc("time"), F.desc("seq")).offset(max(0, min(100_000, offset))).limit(max(1, min(500, limit))).withColumn("_one", F.lit(1))
+    skipped = max(0, min(deepest, offset))
+    reached = events.join(F.broadcast(total.filter(F.col("total") > skipped).select("_one"))).drop("_one")  # one row or none: nothing is sorted for a page beyond the end
+    newest = reached.orderBy(F.desc("time"), F.desc("seq")).offset(skipped).limit(max(1, min(500, limit))).withColumn("_one", F.lit(1))
     return total.join(newest, "_one", "left").drop("_one")
 
 
