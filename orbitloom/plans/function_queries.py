@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -126,8 +128,8 @@ def h15_signal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("with $OBS, l as (select seq, value, k * 0.1 as acc, value * 2 as v2 from obs), b as (select *, case when 3 * acc < 2 then 2.0 when 3 * acc > 20 then 20.0 else 3 * acc end as i, case when 6 * acc < 4 then 4.0 when 6 * acc > 40 then 40.0 else 6 * acc end as u from l), c as (select *, case when value > u then 0 when value > i then 1 else 3 end as r1, case when v2 >= 60 then 0 when v2 >= 20 then 1 else 3 end as r2 from b) select seq, ['unassured', 'inconsistent', 'unavailable', 'assured'][1 + least(r1, r2)] as state from c")
 def h17_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The worse of a scaled and a plain band."""
-    acc = F.col("k") * 0.1
+    """The worse of a scaled and a plain band. Accuracies are decimals: as doubles, three tenths of 7 are more than 2.1."""
+    acc = F.col("k") * F.lit(Decimal("0.1"))
     scaled = grades.graded(F.col("value"), grades.scaled_limit(acc, 3, 2, 20), grades.scaled_limit(acc, 6, 4, 40))
     return observations(spark, sf_dir).select("seq", grades.worst(scaled, grades.graded_from(F.col("value") * 2, 20, 60)).alias("state"))
 
