@@ -116,6 +116,6 @@ def w21_ionosphere_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arcs of dual-frequency pairs and their levelled slant delays, with every cause of a break."""
     k = F.col("k")
     rows = observations(spark, sf_dir).select("seq", F.col("gnss").alias("grp"), F.col("unix").alias("at"), F.col("value").alias("code"), (F.col("value") * 0.9 + k / 10).alias("phase"), (k % 29 != 0).alias("has_phase"),
-                                              (F.floor(F.col("unix").cast("decimal(20,6)").cast("double").cast("long") / 600) % 900).alias("lock_ms"), (k % 31 == 0).alias("half_cycle"), (k % 37 == 0).alias("slip"),
+                                              (F.floor(F.rint("unix") / 600) % 900).alias("lock_ms"), (k % 31 == 0).alias("half_cycle"), (k % 37 == 0).alias("slip"),
                                               F.lit(1575.42e6).alias("f1"), F.when(F.col("gnss") == 5, 1575.42e6).otherwise(1227.6e6).alias("f2"))
     return assembly.arcs(rows, ["grp"], ["at", "seq"], 3600).select("seq", "arc", "n", F.round("slant", 6).alias("slant"))
