@@ -29,3 +29,8 @@ def test_hard_rows(spark, tmp_path, name):
     plain = lambda rows: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows) if name != "b1_page_beyond_end" else [tuple(r) for r in rows]
     text = lambda rows: [str(r) for r in plain(rows)]
     assert text(got.select(*columns).collect()) == text(want.fetchall())
+
+
+def test_grants_make_no_pair_twice(spark):
+    plan = catalog.QUERIES["j14_export_grants"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join Inner") == 2
