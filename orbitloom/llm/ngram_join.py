@@ -339,15 +339,17 @@ def _labelled(df: DataFrame, labels: list[DataFrame], column: str, name: str = "
 
 
 def _merged(links: DataFrame, labels: list[DataFrame], scratch: common.Scratch) -> list[DataFrame]:
-    """labels and one table more, of the components that further links join; only links between components are looked at."""
+    """One table of the labels after further links; only links between components are looked at. Rows meet this one table, however many rounds there were."""
     ends = _labelled(_labelled(links, labels, "a", "label_a"), labels, "b", "label_b").filter("label_a <> label_b")
-    return [*labels, components(ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), scratch)]
+    fresh = components(ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), scratch)
+    if not labels:
+        return [fresh]
+    (known,) = labels
+    moved = _labelled(known.select("set_id", F.col("label").alias("was")), [fresh], "was").select("set_id", "label")
+    return [common.saved(moved.unionByName(fresh.join(known, "set_id", "left_anti").select("set_id", "label")), scratch)]
 
 
-class Tree:
-    """R-tree by packing: points in the order of size and leading counts, cut into leaves; nodes hold largest counts, least sizes and their labels' range."""
-
-    def __init__(self, points: Points, which: np.ndarray, label: np.ndarray):
+def __init__(self, points: Points, which: np.ndarray, label: np.ndarray):
         self.at = which[np.lexsort((*points.coarse[which, :4].T, points.size[which]))]
         self.levels = [(points.coarse[self.at], points.size[self.at], label[self.at], label[self.at])]
         while len(self.levels[-1][0]) > 1:
