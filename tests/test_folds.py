@@ -1,6 +1,9 @@
 """Folds by hand, and cut into stretches that hand their states on."""
 
+import json
 import random
+import time
+from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +76,32 @@ def test_bad_readings_do_not_train():
     assert found[28]["learned"] and found[29] == {"state": "inconsistent", "reasons": "temperature_change", "learned": False}
 
 
+def test_references_are_the_medians_of_what_was_learned():
+    rng = random.Random(5)
+    step, state, learned, at = folds.environment_change(base_s=600, lasting_s=900, keep_s=1500, age_s=60), {}, [], 0
+    for i in range(3000):
+        at += rng.choice([0, 1, 3, 400 if i % 500 == 0 else 2]) * S
+        row = reading(0, rng.choice([None, 20.0 + rng.randrange(60) / 10]), rng.random() < 0.95) | {"at": at}
+        anomalous = state.get("anomalous")
+        found = step(state, row)
+        if found["learned"] or not anomalous:
+            learned = [x for x in learned if x[0] >= at - 1500 * S]
+        if found["learned"]:
+            learned.append((at, row["temperature"]))
+        for points, old in ((state["near"], False), (state["far"], True)):  # far is as of the row, near as after it
+            known = [t for x, t in learned if t is not None and (x <= at - 900 * S if old else x >= at - 600 * S)]
+            own = points.get("temperature", {"n": 0})
+            assert own["n"] == len(known) and (not known or folds._known_median(own) == median(known))
+        if i % 400 == 0:
+            state = json.loads(json.dumps(state))
+
+
+def test_a_long_window_costs_no_pass_over_it():
+    began = time.process_time()
+    found = run(folds.environment_change(), [reading(i / 100, 20.0 + i % 30 / 10) for i in range(8000)])
+    assert found[-1]["learned"] and time.process_time() - began < 5
+
+
 def test_one_to_one_by_hand(spark):
     minute = 60 * S
     at = 20 * minute
