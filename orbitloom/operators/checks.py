@@ -32,9 +32,11 @@ def bias_drift(rows: DataFrame, key: str, time: str, bias: str, drift: str, whol
 
 
 def mean_offset(rows: DataFrame, key: str, time: str, value: str, window_s: float, gap_s: float, least: int) -> DataFrame:
-    """rows with the number of epochs of the window in the row's unbroken run, and their mean if there are enough."""
+    """rows with the number of epochs of the window in the row's unbroken run, and their mean if there are enough.
+
+    Values are summed from the row itself back in time, as the SQL's join meets them: a sum at a limit depends on the order in its last digit."""
     runs = with_segments(rows, key, time, gap_s)
-    w = Window.partitionBy(key, "segment").orderBy(F.unix_micros(time)).rangeBetween(int(-window_s * 1e6), 0)
+    w = Window.partitionBy(key, "segment").orderBy(F.unix_micros(time).desc()).rangeBetween(0, int(window_s * 1e6))
     return runs.withColumn("epochs", F.count(value).over(w)).withColumn("mean", F.when(F.col("epochs") >= least, F.avg(value).over(w))).drop("segment")
 
 

@@ -11,6 +11,8 @@ HARD = {
     "h17_bands": [(i, i, 0, "view", v, k) for i, (v, k) in enumerate([(2.1, 7), (4.2, 7), (5.1, 17), (10.2, 17), (2.1, 8), (6.9, 23)])],
     # the clock of the lock wraps at a multiple of 540,000 seconds: half a second before it is the second itself, a quarter is not
     "w21_ionosphere_arcs": [(8 * i, 1706400000 + s, 0, "view", 3.5 + i, 1 + 3 * i) for i, s in enumerate([-900.0, -600.0, -0.4, 1.0, 600.0, 539999.4, 539999.6, 540000.2])],
+    # every station has two values in turn, whose mean is exactly the limit 9 or 14: the last digit of the sum decides
+    "w14_fixed_position": [(i, i // 60 * 20000, i % 60, "view", ((9, 14)[i % 2] * 100 + (i // 60 % 2 * 2 - 1) * (i % 60) * 13) / 100, 1) for i in range(60 * 24)],
     "b1_page_beyond_end": [(i, i // 7, i % 5, "error", 1.0, 1) for i in range(100_003)],
 }
 
