@@ -3,14 +3,14 @@
 Benchmark items are cut into passages. A randomised singular value decomposition of their TF-IDF matrix (hashed terms, document
 frequencies over all documents) gives one latent space for all items, of half as many dimensions as passages and at most RANK;
 the products run over the rows in Spark and the sketches have a fixed size. Every document is cut into overlapping windows of WINDOW words, one at each STRIDE words, which are
-folded into that space and compared with all passages by cosine. A passage's threshold is calibrated: it is the lowest cosine of
-TRIALS trial windows that keep PARAPHRASE of its words beside those of a window of a document (about SAMPLE of them are drawn by
-hash, for this only), less MARGIN. A window at or above it is a candidate,
+folded into that space and compared with all passages by cosine. A passage's threshold is calibrated on all documents: it is the
+mean cosine of trial windows that keep PARAPHRASE of its words (in TRIALS ways) beside a stretch of a document, over all stretches of
+all documents, less SIGMAS deviations and MARGIN. A window at or above it is a candidate,
 and its surroundings are verified by the longest common subsequence of words with the passage: a share of VERBATIM is
 contaminated, one of PARAPHRASE only if it also holds the answer, the passage's rarest words. All terms have weight: the least
 is LEAST of the largest, so words made frequent by many copies of a leak still count. All documents are read once for
-frequencies and once for the search, whatever the number of items (up to PASSAGES passages are broadcast, about 1 KB
-each; a larger benchmark takes another search per PASSAGES). A passage of fewer than CERTAIN words counts only where all of them stand
+frequencies, once for thresholds and once for the search, whatever the number of items (up to PASSAGES passages are broadcast, about 1 KB
+each; a larger benchmark takes another calibration and search per PASSAGES). A passage of fewer than CERTAIN words counts only where all of them stand
 one after the other, one of fewer than FEWEST never: such words stand in clean texts by chance. Cases: null or empty texts are never contaminated, items without words are never
 found; repeated rows give repeated results; equal cosines are all candidates; an empty benchmark or table gives an empty
 result; other columns are not looked at by contaminated() and are kept by clean().
@@ -32,8 +32,8 @@ BUCKETS = 1 << 16
 #: Words of a window of a document, words between windows, and words of a benchmark passage.
 WINDOW, STRIDE, PASSAGE = 64, 16, 48
 RANK, OVER, POWERS, SEED = 64, 16, 2, 17
-#: Windows of documents that thresholds are calibrated on, trial windows of a passage, what is taken off the lowest cosine, passages of one search, terms of one slice of a sum.
-SAMPLE, TRIALS, MARGIN, PASSAGES, SLICE = 2000, 12, 0.05, 100_000, 1024
+#: Trial windows of a passage, deviations and what else is taken off their mean cosine, passages of one search, terms of one slice of a sum.
+TRIALS, SIGMAS, MARGIN, PASSAGES, SLICE = 12, 3, 0.05, 100_000, 1024
 VERBATIM, PARAPHRASE, ANSWER_WORDS, ANSWER_SHARE = 0.8, 0.6, 6, 0.7
 #: Smallest weight of a term, against the largest.
 LEAST = 0.1
@@ -94,22 +94,6 @@ def _passages(benchmark: DataFrame) -> DataFrame:
     return benchmark.mapInArrow(run, "item_id long, words binary")
 
 
-def _windows(sample: DataFrame) -> DataFrame:
-    """Words of one window of each text."""
-
-    def run(batches):
-        for _, data, offsets in common.steps(batches):
-            words, _, _, first = common.word_hashes(data, offsets)
-            out = []
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                if b > a:
-                    start = a + int(words[a] % np.uint64(max(1, b - a - WINDOW)))
-                    out.append(words[start : min(b, start + WINDOW)].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["words"])
-
-    return sample.select("text").mapInArrow(run, "words binary")
-
-
 def latent_space(passages: DataFrame, weight: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
     """Terms of the passages (words), and what folds a text in: right singular vectors over their singular values, times weights.
 
@@ -193,48 +177,99 @@ class Index:
         return (common.mix(word + passage.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(len(self.known) - 1)).astype(np.int64)
 
 
-def index_of(benchmark: DataFrame, sample: DataFrame, weight: np.ndarray) -> Iterator[Index]:
-    """Indexes of at most PASSAGES passages each; vectors and thresholds are worked out in Spark, thresholds with windows of a sample of documents."""
+def index_of(benchmark: DataFrame, docs: DataFrame, weight: np.ndarray) -> Iterator[Index]:
+    """Indexes of at most PASSAGES passages each; vectors and thresholds are worked out in Spark, thresholds with all words of all docs."""
     passages = common.saved(_passages(benchmark).repartition(8))
     used, terms = latent_space(passages, weight)
     if not len(used):
         return
     lookup = np.full(BUCKETS, len(used), np.int32)
     lookup[used] = np.arange(len(used))
-    pool = sorted(bytes(r[0]) for r in _windows(sample).distinct().orderBy(F.xxhash64("words"), "words").limit(2 * SAMPLE).collect())
-    pool = [lookup[_terms(np.frombuffer(p, np.uint64))] for p in pool] or [np.full(1, len(used))]
-    shared = benchmark.sparkSession.sparkContext.broadcast((lookup, terms, pool))
+    shared = benchmark.sparkSession.sparkContext.broadcast((lookup, terms))
 
     def run(batches):
-        lookup, terms, pool = shared.value
+        lookup, terms = shared.value
         for batch in batches:
-            vectors, lowest = [], []
+            vectors, trials = [], []
             for raw in batch.column("words"):
                 words = np.frombuffer(raw.as_buffer(), np.uint64)
                 rng = np.random.default_rng(int(words[0]))
                 own = terms[lookup[_terms(words)]]
                 vector = _unit(own.sum(0))
-                kept = int(np.ceil(PARAPHRASE * len(own)))
-                trials = [own[rng.permutation(len(own))[:kept]].sum(0) + terms[pool[rng.integers(len(pool))][: max(WINDOW, len(own)) - kept]].sum(0) for _ in range(TRIALS)]
+                kept = np.stack([own[rng.permutation(len(own))[: _kept(len(own))]].sum(0) for _ in range(TRIALS)])
                 vectors.append(vector.tobytes())
-                lowest.append(float((_unit(np.stack(trials)) @ vector).min()) - MARGIN)
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("words"), pa.array(vectors, pa.binary()), pa.array(lowest)], ["item_id", "words", "vector", "least"])
+                trials.append(np.stack([kept @ vector, (kept * kept).sum(1)]).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("words"), pa.array(vectors, pa.binary()), pa.array(trials, pa.binary())], ["item_id", "words", "vector", "trials"])
 
     found: list = []
-    for r in passages.mapInArrow(run, "item_id long, words binary, vector binary, least double").orderBy("item_id", "words").toLocalIterator():
+    for r in passages.mapInArrow(run, "item_id long, words binary, vector binary, trials binary").orderBy("item_id", "words").toLocalIterator():
         found.append(r)
         if len(found) == PASSAGES:
-            yield _index(found, lookup, terms, weight)
+            yield _index(found, lookup, terms, weight, docs)
             found = []
     if found:
-        yield _index(found, lookup, terms, weight)
+        yield _index(found, lookup, terms, weight, docs)
 
 
-def _index(found: list, lookup: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> Index:
+def _kept(n: int) -> int:
+    """Words that a trial window keeps of a passage of n words."""
+    return int(np.ceil(PARAPHRASE * n))
+
+
+def thresholds(docs: DataFrame, lookup: np.ndarray, terms: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, trials: np.ndarray) -> np.ndarray:
+    """Least cosine of a candidate for each passage: SIGMAS deviations and MARGIN below the mean over trial windows with the words of all documents.
+
+    Every document is cut into stretches of as many words as a window has besides those kept of a passage (to the next eight), and each takes its turn
+    with the trials (what kept words add along the passage, and their square): sums of fixed size, no draw of documents."""
+    shared = docs.sparkSession.sparkContext.broadcast((lookup, terms, vectors, lengths, trials))
+
+    def run(batches):
+        lookup, terms, vectors, lengths, trials = shared.value
+        beside = np.array([-(-(max(WINDOW, n) - _kept(n)) // 8) * 8 for n in lengths.tolist()])  # few kinds of stretches
+        groups = [(n, g[s : s + 1024]) for n in np.unique(beside).tolist() for g in [np.flatnonzero(beside == n)] for s in range(0, len(g), 1024)]
+        sums = np.zeros((3, len(vectors)))
+        for _, data, offsets in common.steps(batches):
+            words, _, _, first = common.word_hashes(data, offsets)
+            first = first[np.r_[True, first[1:] > first[:-1]]]  # texts with words
+            if not len(words):
+                continue
+            row = lookup[_terms(words)]
+            known = row != len(terms) - 1
+            upto = np.r_[0, np.cumsum(known)]
+            running = np.zeros((upto[-1] + 1, terms.shape[1]))
+            np.cumsum(terms[row[known]], axis=0, out=running[1:], dtype=np.float64)
+            cut = None
+            for n, own in groups:
+                if n != cut:
+                    cut, counts = n, -(-np.diff(first) // n)
+                    of = np.repeat(np.arange(len(counts)), counts)
+                    at = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+                    begin = np.maximum(first[of], np.minimum(first[of] + n * at, first[of + 1] - n))
+                    noise = (running[upto[np.minimum(begin + n, first[of + 1])]] - running[upto[begin]]).astype(np.float32)
+                    square, turn = (noise * noise).sum(1)[:, None], np.arange(len(of)) % TRIALS
+                along = noise @ vectors[own].T
+                kept, kept_square = trials[own, 0].T[turn], trials[own, 1].T[turn]
+                # kept words lie on average along the passage, so what they share with the noise is what the passage shares with it
+                cosine = (kept + along) / np.sqrt(np.maximum(kept_square + 2 * kept * along + square, 1e-9))
+                sums[:, own] += np.stack([np.full(len(own), len(of)), cosine.sum(0, dtype=np.float64), (cosine * cosine).sum(0, dtype=np.float64)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(vectors))), *(pa.array(x) for x in sums)], ["passage", "n", "one", "two"])
+
+    total = docs.select("text").mapInArrow(run, "passage long, n double, one double, two double").groupBy("passage").agg(*[F.sum(c).alias(c) for c in ("n", "one", "two")]).toArrow()
+    at, n, one, two = (total.column(c).to_numpy() for c in ("passage", "n", "one", "two"))
+    mean = one / np.maximum(n, 1)
+    least = np.zeros(len(vectors), np.float32)
+    least[at] = mean - SIGMAS * np.sqrt(np.maximum(two / np.maximum(n, 1) - mean * mean, 0)) - MARGIN
+    shared.unpersist()
+    return least
+
+
+def _index(found: list, lookup: np.ndarray, terms: np.ndarray, weight: np.ndarray, docs: DataFrame) -> Index:
     words = [np.frombuffer(r["words"], np.uint64) for r in found]
     answers = [set(list(dict.fromkeys(w[np.argsort(-weight[_terms(w)], kind="stable")].tolist()))[:ANSWER_WORDS]) for w in words]
     size = 1 << max(16, int(np.ceil(np.log2(16 * sum(map(len, words))))))
-    index = Index(lookup, terms, np.stack([np.frombuffer(r["vector"], np.float32) for r in found]), np.array([r["least"] for r in found], np.float32), [r["item_id"] for r in found], words, answers, np.zeros(size, bool))
+    vectors, trials = np.stack([np.frombuffer(r["vector"], np.float32) for r in found]), np.stack([np.frombuffer(r["trials"], np.float32).reshape(2, TRIALS) for r in found])
+    least = thresholds(docs, lookup, terms, vectors, np.array(list(map(len, words))), trials)
+    index = Index(lookup, terms, vectors, least, [r["item_id"] for r in found], words, answers, np.zeros(size, bool))
     index.known[index.places(np.repeat(np.arange(len(words)), list(map(len, words))), np.concatenate(words))] = True
     return index
 
@@ -320,10 +355,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     frequencies, n_docs = document_frequencies(rows)
     weight = weights(frequencies, n_docs)
-    sample = rows.filter(F.pmod(F.xxhash64("text", "doc_id"), F.lit(max(1, n_docs // SAMPLE))) == 0)
     schema = "doc_id long, item_id long, cosine double, common double, near_word long"
     out = rows.limit(0).selectExpr("doc_id", "doc_id as item_id", "double(doc_id) as cosine", "double(doc_id) as common", "doc_id as near_word")
-    for index in index_of(items, sample, weight):
+    for index in index_of(items, rows, weight):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):

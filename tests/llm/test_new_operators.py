@@ -288,3 +288,19 @@ def test_op13_workers_remember_stretches_of_other_tables(spark, docs):
     few = [(1, "the cat"), (2, "a dog the cat"), (3, None)]
     found = alignment.align(spark.createDataFrame(few, "doc_id long, text string").coalesce(1))
     assert sorted(map(tuple, found.collect()), key=str) == aligned(few)
+
+
+def test_op2_thresholds_come_from_all_documents(spark):
+    """One text with a passage's word among 4,000 without moves the thresholds, whichever it is."""
+    terms, lookup = np.zeros((2, 4), np.float32), np.ones(decontamination.BUCKETS, np.int32)
+    terms[0], lookup[decontamination._terms(common.word_hashes(np.frombuffer(b"odd", np.uint8), np.array([0, 3]))[0])] = [1, 2, 3, 4], 0
+    vectors, trials = np.eye(4, dtype=np.float32)[:2], np.ones((2, 2, decontamination.TRIALS), np.float32)
+    texts = [f"plain{i} " * 70 for i in range(4000)]
+
+    def least(rows):
+        return decontamination.thresholds(spark.createDataFrame([(t,) for t in rows], "text string"), lookup, terms, vectors, np.array([40, 12]), trials)
+
+    plain = least(texts)
+    for at in (0, 1234, 3999):
+        assert (np.abs(least(texts[:at] + ["odd " * 70] + texts[at + 1 :]) - plain) > 1e-5).all()
+    assert (least(["", None, " "]) <= 0).all()
