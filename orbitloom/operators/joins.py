@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Points of a cube that one group counts for.
+OWN = 4096
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, payload: list[str], tie: str | None = None) -> DataFrame:
     """Each left row with the latest right row of its key at or before its time (of equal times that with the largest tie, the first
@@ -53,16 +58,52 @@ def nearest(left: DataFrame, right: DataFrame, key: str, left_time: str, right_t
 def neighbours(points: DataFrame, radius: float, keep: int) -> DataFrame:
     """Of each point (id, x, y, z): how many others lie within the radius, and the nearest keep of them (the feature).
 
-    Points go to cubes as wide as the radius; each looks into its own and the 26 around it, an equi join on the cube."""
+    Points go to cubes as wide as the radius and to the 26 around; each cube counts for its own points in its task, so no pair
+    is shuffled or sorted, only 27 copies of the points and one row of a point. The points of a full cube are dealt to several
+    groups of about OWN, which hold its surroundings each."""
     cell = [F.floor(F.col(c) / radius).alias(f"c{c}") for c in "xyz"]
+    cells = ["cx", "cy", "cz"]
+    homes = points.filter("id is not null and x is not null and y is not null and z is not null").select("id", "x", "y", "z", *cell)
+    parts = homes.groupBy(*cells).agg(F.ceil(F.count("*") / OWN).cast("int").alias("parts"))
+    own = homes.join(parts, cells).withColumn("part", F.pmod(F.xxhash64("id", "x", "y", "z"), "parts").cast("int")).drop("parts").withColumn("own", F.lit(True))
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    homes = points.select("id", "x", "y", "z", *cell)
-    looks = homes.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).withColumn("dz", F.explode(steps))
-    looks = looks.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), (F.col("cz") + F.col("dz")).alias("cz"))
-    gap = F.sqrt((F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2 + (F.col("az") - F.col("z")) ** 2)
-    pairs = looks.join(homes, ["cx", "cy", "cz"]).filter("a <> id").withColumn("gap", gap).filter(F.col("gap") <= radius)
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("gap", "id")))
-    return ranked.groupBy("a").agg(F.count("*").alias("n"), F.round(F.min("gap"), 6).alias("nearest_gap"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("rank") <= keep, F.struct("rank", "id")))).getField("id").cast("array<string>"), ",").alias("named"))
+    moved = homes
+    for c in cells:
+        moved = moved.withColumn("_step", F.explode(steps)).withColumn(c, F.col(c) + F.col("_step")).drop("_step")
+    around = moved.join(parts, cells).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").withColumn("own", F.lit(False))
+    kind = dict(points.dtypes)["id"]
+    found = own.unionByName(around).groupBy(*cells, "part").applyInArrow(lambda group: _nearest(group, radius, keep), f"a {kind}, n long, gaps array<double>, ids array<{kind}>")
+    # rows of one id count together, wherever they lie
+    merged = found.groupBy("a").agg(F.sum("n").alias("n"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("gaps", "ids")))).alias("near"))
+    return merged.select("a", "n", F.round(F.col("near")[0]["gaps"], 6).alias("nearest_gap"), F.array_join(F.slice("near", 1, keep).getField("ids").cast("array<string>"), ",").alias("named"))
+
+
+def _nearest(group: pa.Table, radius: float, keep: int) -> pa.Table:
+    """Of each own point of a cube: how many of those around are within the radius, and gaps and ids of the nearest."""
+    ids, mine = group.column("id").combine_chunks(), group.column("own").to_numpy(zero_copy_only=False)
+    kinds = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    place = np.stack([group.column(c).to_numpy() for c in "xyz"])
+    left, right = np.flatnonzero(mine), np.flatnonzero(~mine)
+    right = right[np.argsort(kinds[right], kind="stable")]  # of equal gaps the smaller id comes first
+    at, n, gaps, near = [], [], [], []
+    around, others = place[:, right], kinds[right]
+    for i in left.tolist():
+        d = place[:, i, None] - around
+        gap = np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+        inside = np.flatnonzero((gap <= radius) & (others != kinds[i]))
+        if not len(inside):
+            continue
+        best = inside
+        if len(inside) > keep:
+            best = inside[gap[inside] <= np.partition(gap[inside], keep - 1)[keep - 1]]
+        best = best[np.argsort(gap[best], kind="stable")][:keep]
+        at.append(i)
+        n.append(len(inside))
+        gaps.append(gap[best])
+        near.append(right[best])
+    cuts = pa.array(np.cumsum([0, *map(len, near)]), pa.int32())
+    lists = [pa.ListArray.from_arrays(cuts, x) for x in (pa.array(np.concatenate([np.zeros(0), *gaps])), ids.take(pa.array(np.concatenate([np.zeros(0, np.int64), *near]))))]
+    return pa.table([ids.take(pa.array(at, pa.int64())), pa.array(n, pa.int64()), *lists], ["a", "n", "gaps", "ids"])
 
 
 def band_pairs(rows: DataFrame, key: list[str], at: str, tolerance: Column | float, label: str, payload: str) -> DataFrame:

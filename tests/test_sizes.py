@@ -1,10 +1,14 @@
 """Queries on rows that small tables seldom have, against their SQL."""
 
+import math
+import random
+
 import duckdb
 import pandas as pd
 import pytest
 
 from orbitloom import catalog
+from orbitloom.operators import joins
 
 #: events as (event_id, seconds, user_id, event_type, value, k).
 HARD = {
@@ -36,3 +40,18 @@ def test_hard_rows(spark, tmp_path, name):
 def test_grants_make_no_pair_twice(spark):
     plan = catalog.QUERIES["j14_export_grants"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and plan.count("Join Inner") == 2
+
+
+def test_neighbours_shuffle_no_pairs(spark, monkeypatch):
+    """A full cube dealt to several groups, equal gaps and repeated ids: as by brute force, without a join or window of pairs."""
+    monkeypatch.setattr(joins, "OWN", 8)
+    rng = random.Random(4)
+    rows = [(i % 190, *(float(rng.randrange(-6, 7)) for _ in "xyz")) for i in range(200)] + [(None, 0.0, 0.0, 0.0), (500, None, 0.0, 0.0), (501, 90.0, 0.0, 0.0)]
+    got = joins.neighbours(spark.createDataFrame(rows, "id long, x double, y double, z double"), 3.0, 5)
+    want = {}
+    for a, *p in rows:
+        near = [(math.dist(p, q), b) for b, *q in rows if None not in (a, b, *p, *q) and a != b and math.dist(p, q) <= 3]
+        want[a] = want.get(a, []) + near
+    assert {tuple(r) for r in got.collect()} == {(a, len(v), round(min(v)[0], 6), ",".join(str(b) for _, b in sorted(v)[:5])) for a, v in want.items() if v}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
