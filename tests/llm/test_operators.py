@@ -378,6 +378,21 @@ def test_op7(docs, odd):
         assert np.frombuffer(own.encode(text), np.uint16).tolist() == ids
 
 
+def test_op7_new_stretches_are_read_side_by_side(docs):
+    """Short stretches that are not yet known go through the automaton together, with the ids that they get one by one."""
+    one, many = pieces.Pieces(pieces.PIECE_FILE), pieces.Pieces(pieces.PIECE_FILE)
+    rng = np.random.default_rng(7)
+    odd = ["".join(rng.choice(list("  aehtinors,.\n▁é日本語𝔘\0ñß19€"), n)) for n in rng.integers(0, 150, 500)]
+    texts = [r["text"] for r in docs.limit(50).collect()] + odd + ["", None, "▁", "🙂" * 64, "a" * 63, "a" * 64, "a" * 65]
+    want = [None if t is None else one.encode(t) for t in texts]
+    met = []
+    many.stretch = lambda text, known=many.stretch: met.append(text) or known(text)
+    assert many.encode_all(texts) == want
+    assert all(len(x) > pieces.SHORT for x in met)
+    many.known.clear()
+    assert many.encode_all(texts[::-1]) == want[::-1] and many.encode_all([]) == []
+
+
 def test_op8(spark, docs, odd):
     for table in (docs, odd):
         rows = table.collect()
