@@ -14,8 +14,8 @@ cannot reach the overlap that the threshold needs is dropped. Four levels use th
 3. Tiles with members of several components get an R-tree, packed by size and leading counts: pairs of nodes are opened
    only if the summed minima of COARSE groups can reach the overlap and the nodes hold several components. A first descent
    carries the COARSE counts alone and leaves the members that have any partner; most share their tile by chance and go.
-   The others bring their whole points: pairs that survive a second descent are bounded again over FINE groups. Of those, a
-   spanning forest of each tile's components is kept, so a group gives about as many pairs as it has members.
+   The others bring their whole points: pairs that survive a second descent are bounded again over MIDDLE and FINE groups, likely
+   ones first, until they are a spanning forest of each tile's components: a group gives about as many pairs as it has members.
 4. Surviving pairs are verified on whole sets of 64-bit shingle hashes. Where one fails, its tiles are searched again
    without it, until no pair fails; then no link can be missing between two components.
 
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Groups of a point, in the tree and for the last bound before verification.
-COARSE, FINE = 64, 1 << 14
+#: Groups of a point, in the tree, for a bound on its pairs and for the last bound before verification.
+COARSE, MIDDLE, FINE = 64, 1 << 10, 1 << 14
 #: Counters of shingle frequencies, in two rows, and how many are shipped at a time.
 COUNTERS, SLICE = 1 << 18, 4096
 #: Members of an R-tree leaf, of a block of a tile, and of one side of a descent.
@@ -94,6 +94,14 @@ def packed_counts(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in raw]
 
 
+def _minima(counts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Summed minima of pairs of rows of counts."""
+    most, step = np.empty(len(i), np.int64), (1 << 20) // counts.shape[1]
+    for s in range(0, len(i), step):
+        most[s : s + step] = np.minimum(counts[i[s : s + step]], counts[j[s : s + step]]).sum(1, dtype=np.int64)
+    return most
+
+
 class Counts:
     """Points known by their size and the counts of COARSE groups, rounded up, so that bounds stay bounds."""
 
@@ -102,13 +110,13 @@ class Counts:
         unit = raw[:, :2].copy().view("<u2").astype(np.int32)
         self.coarse, self.size = raw[:, 2:].astype(np.int32) * unit, size
 
+    def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Summed minima over COARSE groups of pairs of points."""
+        return _minima(self.coarse, i, j)
+
     def fits(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
         """Coarse bound on pairs of points."""
-        most = np.empty(len(i), np.int64)
-        for s in range(0, len(i), 1 << 14):
-            cut = slice(s, s + (1 << 14))
-            most[cut] = np.minimum(self.coarse[i[cut]], self.coarse[j[cut]]).sum(1, dtype=np.int64)
-        return (100 + percent) * most >= percent * (self.size[i] + self.size[j])
+        return (100 + percent) * self.shared(i, j) >= percent * (self.size[i] + self.size[j])
 
 
 class Points(Counts):
@@ -128,7 +136,13 @@ class Points(Counts):
         repeat = np.arange(len(group)) - np.repeat(heads, np.diff(np.append(heads, len(group))))
         self.token = group << 20 | repeat
         self.size = np.diff(self.bounds)
-        self.coarse = np.bincount(self.of * COARSE + group % COARSE, minlength=len(self.size) * COARSE).reshape(-1, COARSE).astype(np.int32)
+        middle = np.bincount(self.of * MIDDLE + group % MIDDLE, minlength=len(self.size) * MIDDLE).reshape(-1, MIDDLE)
+        self.middle = middle.astype(np.min_scalar_type(int(middle.max(initial=0))))
+        self.coarse = middle.reshape(-1, MIDDLE // COARSE, COARSE).sum(1).astype(np.int32)
+
+    def likely(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Summed minima over MIDDLE groups of pairs of points."""
+        return _minima(self.middle, i, j)
 
     def _keys(self, which: np.ndarray) -> np.ndarray:
         size = self.size[which]
@@ -223,7 +237,7 @@ def first_shingles(values: np.ndarray, bounds: np.ndarray, percent: int, counts:
     """The tiles of sets, and the set of each: as many of their rarest shingles as a linked set cannot miss."""
     of, place = _runs(bounds)
     one, two = _places(values)
-    order = np.lexsort((values, np.minimum(counts[one], counts[two]), of))
+    order = np.argsort(of << 32 | np.minimum(counts[one], counts[two]).astype(np.int64), kind="stable")  # equal counts by value, as they come
     size = np.diff(bounds)
     keep = place < (size - needed(size, percent) + 1)[of]  # place counts up within each set, in any order of its shingles
     return values[order][keep], of[keep]
@@ -389,6 +403,29 @@ def tree_pairs(one: Tree, two: Tree, percent: int) -> tuple[np.ndarray, np.ndarr
         i, j = (child, other) if side == 0 else (other, child)
 
 
+def _joined(part: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The part of each node after parts one and two are joined, pair by pair."""
+    above = np.arange(len(part))
+    for a, b in zip(one.tolist(), two.tolist(), strict=True):
+        while above[a] != a:
+            a = above[a]
+        while above[b] != b:
+            b = above[b]
+        above[max(a, b)] = min(a, b)
+    while (above[above] != above).any():
+        above = above[above]
+    return above[part]
+
+
+def _leading(part: np.ndarray, some: int) -> np.ndarray:
+    """Whether each element is among the first of its part."""
+    at = np.argsort(part, kind="stable")
+    heads = np.flatnonzero(np.diff(part[at], prepend=-1))
+    out = np.empty(len(part), bool)
+    out[at] = np.arange(len(part)) - np.repeat(heads, np.diff(np.append(heads, len(part)))) < some
+    return out
+
+
 def _forest(x: np.ndarray, y: np.ndarray, likeness: np.ndarray) -> np.ndarray:
     """Indices of the edges (x, y) of a spanning forest that prefers likely edges: each part takes its best edge out, until none is left."""
     nodes, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
@@ -401,16 +438,7 @@ def _forest(x: np.ndarray, y: np.ndarray, likeness: np.ndarray) -> np.ndarray:
             np.minimum.at(best, part[end[left]], left)
         picked = np.unique(best[best < len(order)])
         chosen.append(picked)
-        above = np.arange(len(nodes))
-        for one, two in zip(part[x[picked]].tolist(), part[y[picked]].tolist(), strict=True):
-            while above[one] != one:
-                one = above[one]
-            while above[two] != two:
-                two = above[two]
-            above[max(one, two)] = min(one, two)
-        while (above[above] != above).any():
-            above = above[above]
-        part = above[part]
+        part = _joined(part, part[x[picked]], part[y[picked]])
         left = left[part[x[left]] != part[y[left]]]
     return order[np.concatenate(chosen)] if chosen else order
 
@@ -452,15 +480,36 @@ def _leaf_pairs(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forest_of(points: Points, i: np.ndarray, j: np.ndarray, node: np.ndarray, own: np.ndarray, failed: set, percent: int) -> tuple[np.ndarray, ...]:
-    """Of the pairs (i, j): those that the fine bound allows and that have not failed, cut to a spanning forest of their nodes."""
-    most = points.fine(i, j)
-    size = points.size[i] + points.size[j]
-    keep = (100 + percent) * most >= percent * size
-    if failed:
-        keep &= np.fromiter(((a, b) not in failed and (b, a) not in failed for a, b in zip(own[i].tolist(), own[j].tolist(), strict=True)), bool, len(i))
-    i, j, like = i[keep], j[keep], (most / np.maximum(size - most, 1))[keep]
-    taken = _forest(node[i], node[j], like) if len(i) else np.zeros(0, np.int64)
-    return i[taken], j[taken], like[taken]
+    """Of the pairs (i, j): a spanning forest of their nodes by those that the fine bound allows and that have not failed, and their likeness.
+
+    Each part's likeliest pairs, by the bound of MIDDLE groups, are looked at first, twice as many each time; pairs inside a part are not looked at,
+    so a group of near copies costs about as many fine bounds as it has members."""
+    size, most = points.size[i] + points.size[j], points.likely(i, j)
+    order = np.argsort(-most / np.maximum(size, 1), kind="stable")
+    order = order[((100 + percent) * most >= percent * size)[order]]
+    i, j, size = i[order], j[order], size[order]
+    nodes, ends = np.unique(np.concatenate([node[i], node[j]]), return_inverse=True)
+    x, y = ends[: len(i)], ends[len(i) :]
+    part, left, some = np.arange(len(nodes)), np.arange(len(i)), 1
+    taken, like = [left[:0]], [np.zeros(0)]
+    while len(left):
+        now = _leading(part[x[left]], some) | _leading(part[y[left]], some)
+        at = left[now]
+        most = points.fine(i[at], j[at])
+        keep = (100 + percent) * most >= percent * size[at]
+        if failed:
+            keep &= np.fromiter(((a, b) not in failed and (b, a) not in failed for a, b in zip(own[i[at]].tolist(), own[j[at]].tolist(), strict=True)), bool, len(at))
+        at, most = at[keep], most[keep]
+        likely = most / np.maximum(size[at] - most, 1)
+        chosen = _forest(part[x[at]], part[y[at]], likely) if len(at) else at
+        taken.append(at[chosen])
+        like.append(likely[chosen])
+        part = _joined(part, part[x[at[chosen]]], part[y[at[chosen]]])
+        left = left[~now]
+        left = left[part[x[left]] != part[y[left]]]
+        some *= 2
+    at = np.concatenate(taken)
+    return i[at], j[at], np.concatenate(like)
 
 
 def _dealt(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -584,7 +633,7 @@ def labelled_rows(docs: DataFrame, k: int, percent: int, scratch: common.Scratch
     open_ = members.select("tile", "set_id").distinct()
     failed = None
     while True:
-        reached = common.saved(with_partners(_labelled(open_, labels, "set_id"), classes, percent), scratch)
+        reached = common.saved(with_partners(common.saved(_labelled(open_, labels, "set_id"), scratch), classes, percent), scratch)
         pairs = common.saved(_located(open_pairs(reached, classes, percent, failed), classes), scratch)
         links = common.saved(_verified(pairs, docs, k, percent, scratch), scratch)
         labels = _merged(links, labels, scratch)

@@ -354,6 +354,35 @@ def test_op6(spark):
     assert [r["n_turns"] for r in chat.rendered(spark.createDataFrame(long, "conv_id long, turn long, role string, text string, chat string")).collect()] == [300]
 
 
+def test_op1_fine_bounds_follow_the_members_of_a_group():
+    """Near copies in one tile are joined without a look at all their pairs; sets that are not alike stay apart, also after a failure."""
+    rng = np.random.default_rng(5)
+    groups = [rng.integers(0, 1 << 63, 400, dtype=np.uint64) for _ in range(3)]
+    sets = [np.unique(np.concatenate([groups[k % 3][rng.permutation(400)[:396]], rng.integers(0, 1 << 63, 4, dtype=np.uint64)])) for k in range(300)]
+    bounds = np.cumsum([0] + [len(x) for x in sets])
+    points = ngram_join.Points(pa.array(ngram_join.packed_points(np.concatenate(sets), bounds), pa.binary()))
+    looked, fine = [], points.fine
+    points.fine = lambda i, j: looked.append(len(i)) or fine(i, j)
+    i, j = np.triu_indices(300, 1)
+    fit = points.fits(i, j, 90)
+    i, j, n = i[fit], j[fit], np.arange(300)
+    a, b, like = ngram_join._forest_of(points, i, j, n, n, set(), 90)
+    assert len(a) == len(b) == len(like) == 297 and (a % 3 == b % 3).all() and sum(looked) < 3000 < len(i)
+    assert len(set(ngram_join._joined(n, a, b).tolist())) == 3
+    bad = set(zip(a.tolist(), b.tolist(), strict=True))
+    c, d, _ = ngram_join._forest_of(points, i, j, n, n, bad, 90)
+    assert len(c) == 297 and not bad & set(zip(c.tolist(), d.tolist(), strict=True))
+    for seed in range(20):  # any graph: the parts are those of all pairs
+        rng = np.random.default_rng(seed)
+        sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64) << np.uint64(20)) for _ in range(30)]
+        points = ngram_join.Points(pa.array(ngram_join.packed_points(np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets])), pa.binary()))
+        i, j = np.triu_indices(30, 1)
+        keep = 155 * points.fine(i, j) >= 55 * (points.size[i] + points.size[j])
+        n, whole = np.arange(30), ngram_join._joined(np.arange(30), i[keep], j[keep])
+        a, b, _ = ngram_join._forest_of(points, i, j, n, n, set(), 55)
+        assert ngram_join._joined(n, a, b).tolist() == whole.tolist() and len(a) == 30 - len(set(whole.tolist()))
+
+
 def test_op7(docs, odd):
     for table in (docs, odd):
         done = pieces.encode(table, decoded="decoded")
