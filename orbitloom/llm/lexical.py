@@ -2,8 +2,8 @@
 
 build() cuts the rows into shards of about SHARD_POSTINGS postings and writes one K2-treap a shard: a quadtree over the
 grid of the shard's terms (rows, in the order of their hashes) and documents (columns, by doc_id), without empty cells,
-whose every cell keeps the largest impact below it, as its distance from the cell above; leaves are the impacts
-themselves. All rows are indexed, and all their terms. search() takes items in blocks of ITEM_BYTES; within a shard the
+whose every cell keeps the largest impact below it, as its distance from the cell above (three bytes; none is kept for an
+only child, whose distance is 0); leaves are the impacts themselves. All rows are indexed, and all their terms. search() takes items in blocks of ITEM_BYTES; within a shard the
 paths of an item's terms go down together, best document range first: a range's bound is the sum of weight times maximum
 over the terms' cells, so a range whose bound cannot reach the 50th score found so far is left, and every score returned
 is exact. A task carries the 50 best of an item from shard to shard; what tasks return is cut to 50 an item twice, first
@@ -36,6 +36,8 @@ ITEM_BYTES = 4 << 20
 WIDTH = 256
 #: Parts of the shards whose results are cut to the best before they meet.
 PARTS = 64
+#: Items whose results go back in one Arrow batch.
+OUT_ITEMS = 1000
 SHARD = "ids binary, missing binary, terms binary, df binary, levels int, columns int, masks binary, drops binary"
 _LAST = np.iinfo(np.int64).max
 
@@ -72,7 +74,7 @@ def _spread(x: np.ndarray) -> np.ndarray:
 
 
 def treap(rows: np.ndarray, columns: np.ndarray, impact: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
-    """The children masks of all inner cells and the drops of all cells against the cell above, both from the root down."""
+    """The children masks of all inner cells and the drops, against the cell above, of all cells that are no only child, both from the root down."""
     code = (_spread(rows) << np.uint64(1)) | _spread(columns)
     order = np.argsort(code)
     code, best = code[order], impact[order].astype(np.int32)
@@ -84,10 +86,23 @@ def treap(rows: np.ndarray, columns: np.ndarray, impact: np.ndarray, levels: int
         parents.append(np.repeat(np.arange(len(first)), np.diff(np.append(first, len(code)))))
         code, best = above[first], np.maximum.reduceat(best, first)
         maxima.append(best)
-    drops = [maxima[-1]] + [maxima[i + 1][parents[i]] - maxima[i] for i in range(levels - 1, -1, -1)]
+    drops = [maxima[-1]]
+    for i in range(levels - 1, -1, -1):
+        shared = np.bincount(parents[i])[parents[i]] > 1
+        drops.append((maxima[i + 1][parents[i]] - maxima[i])[shared])
     return np.concatenate(masks[::-1]) if masks else np.zeros(0, np.uint8), np.concatenate(drops)
 
 
+def _narrow(drops: np.ndarray) -> np.ndarray:
+    """Three bytes of each drop, the lowest of all first; impacts are below 10^6."""
+    return np.ascontiguousarray(drops.astype("<i4").view(np.uint8).reshape(-1, 4).T[:3])
+
+
+def _wide(packed: np.ndarray) -> np.ndarray:
+    parts = packed.reshape(3, -1).astype(np.int32)
+    return parts[0] | (parts[1] << 8) | (parts[2] << 16)
+
+
 def build(docs: DataFrame, some: int, every: int) -> DataFrame:
     """The shards of docs (doc_id, text), given their statistics()."""
 
@@ -123,7 +138,7 @@ def build(docs: DataFrame, some: int, every: int) -> DataFrame:
         masks, drops = treap(row, column[of], 1_000_000_000 * tf // (1000 * tf + 20 * m[of]), max(wide, high))
         found = {"ids": ids[order], "missing": missing[order], "terms": terms, "df": np.bincount(row, minlength=len(terms)).astype(np.int32)}
         even = np.append(masks, np.zeros(len(masks) % 2, np.uint8))
-        packed = {"masks": even[::2] | (even[1::2] << 4), "drops": drops}
+        packed = {"masks": even[::2] | (even[1::2] << 4), "drops": _narrow(drops)}
         done = {k: [v.tobytes()] for k, v in (found | packed).items()} | {"levels": pa.array([max(wide, high)], pa.int32()), "columns": pa.array([len(order)], pa.int32())}
         return pa.RecordBatch.from_pydict({name: done[name] for name in ("ids", "missing", "terms", "df", "levels", "columns", "masks", "drops")})
 
@@ -133,10 +148,11 @@ def build(docs: DataFrame, some: int, every: int) -> DataFrame:
 class Tree:
     """A shard as it is searched."""
 
-    def __init__(self, row: dict):
-        self.ids, self.missing = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["missing"], bool)
-        self.terms, self.levels, self.columns = np.frombuffer(row["terms"], np.uint64), row["levels"], row["columns"]
-        packed, drops = np.frombuffer(row["masks"], np.uint8), np.frombuffer(row["drops"], np.int32)
+    def __init__(self, row: dict[str, pa.Scalar]):
+        held = {name: np.frombuffer(x.as_buffer(), np.uint8) if pa.types.is_binary(x.type) else x.as_py() for name, x in row.items()}
+        self.ids, self.missing = held["ids"].view(np.int64), held["missing"].view(bool)
+        self.terms, self.levels, self.columns = held["terms"].view(np.uint64), held["levels"], held["columns"]
+        packed, drops = held["masks"], _wide(held["drops"])
         masks = np.empty(2 * len(packed), np.uint8)
         masks[::2], masks[1::2] = packed & 15, packed >> 4
         sizes, at = [1], 0  # cells of each level
@@ -148,14 +164,16 @@ class Tree:
         self.mask[:inner] = masks[:inner]
         ones = _ONES[self.mask[:inner]]
         self.first = np.concatenate((1 + np.cumsum(ones) - ones, [0])).astype(np.int32)
-        self.best = np.empty(len(drops) + 1, np.int32)  # the last one is the empty cell
+        self.none, self.inner = sum(sizes), inner
+        self.best = np.empty(self.none + 1, np.int32)  # the last one is the empty cell
         self.best[0], self.best[-1] = drops[0], 0
-        at = 0
+        at, taken = 0, 1
         for size, below in zip(sizes, sizes[1:]):
             ones = _ONES[self.mask[at : at + size]]
-            self.best[at + size : at + size + below] = np.repeat(self.best[at : at + size], ones) - drops[at + size : at + size + below]
-            at += size
-        self.none, self.inner = len(drops), inner
+            values, shared = np.repeat(self.best[at : at + size], ones), np.flatnonzero(np.repeat(ones > 1, ones))
+            values[shared] -= drops[taken : taken + len(shared)]
+            self.best[at + size : at + size + below] = values
+            at, taken = at + size, taken + len(shared)
 
     def below(self, cells: np.ndarray, quarter: np.ndarray) -> np.ndarray:
         """The children of cells in a quarter (row bit, column bit), or none."""
@@ -255,11 +273,13 @@ def _ranked(index: DataFrame, names: list, hashes: list[np.ndarray], some: int)
         kept = [nothing] * len(asked.value)
         for batch in batches:
             for at in range(batch.num_rows):
-                tree = Tree(batch.slice(at, 1).to_pylist()[0])
+                tree = Tree({name: batch.column(name)[at] for name in batch.schema.names})
                 kept = [tree.search(*item, had) for item, had in zip(asked.value, kept)]
-        for item, (score, ids, missing) in enumerate(kept):
-            if len(score):
-                yield pa.RecordBatch.from_pydict({"item": np.full(len(score), item), "doc_id": pa.array(ids, mask=missing), "score": score})
+        for at in range(0, len(kept), OUT_ITEMS):
+            some = kept[at : at + OUT_ITEMS]
+            score, ids, missing = (np.concatenate(x) for x in zip(*some))
+            item = np.repeat(np.arange(at, at + len(some)), [len(x[0]) for x in some])
+            yield pa.RecordBatch.from_pydict({"item": item, "doc_id": pa.array(ids, mask=missing), "score": score})
 
     order = [F.desc("score"), F.asc_nulls_last("doc_id")]
     parts = index.select("ids", "missing", "terms", "levels", "columns", "masks", "drops").mapInArrow(best, "item long, doc_id long, score long")

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -132,6 +133,29 @@ def test_op12_empty_tables(spark, docs):
     assert lexical.search(lexical.build(docs, some, every), asked.limit(0), some).count() == 0
 
 
+def test_op12_shard_bytes(spark, docs):
+    """An only child has no drop of its own: at most 2n - 1 drops, of three bytes each, for n postings, however deep the grid."""
+    some, every = lexical.statistics(docs)
+    shards = lexical.build(docs, some, every).collect()
+    assert shards
+    for row in shards:
+        assert len(row["drops"]) <= 3 * (2 * int(np.frombuffer(row["df"], np.int32).sum()) - 1)
+
+
+def test_op12_drops():
+    rng = np.random.default_rng(5)
+    cells = np.unique(rng.integers(0, 1 << 20, 3000))
+    rows, columns, impact = cells >> 10, cells & 1023, rng.integers(1, 1_000_000, len(cells))
+    masks, drops = lexical.treap(rows, columns, impact, 10)
+    assert np.array_equal(lexical._wide(lexical._narrow(drops).reshape(-1)), drops)
+    even = np.append(masks, np.zeros(len(masks) % 2, np.uint8))
+    plain = {"ids": np.arange(1024), "missing": np.zeros(1024, bool), "terms": np.arange(1024, dtype=np.uint64), "masks": even[::2] | (even[1::2] << 4), "drops": lexical._narrow(drops)}
+    tree = lexical.Tree({k: pa.scalar(v.tobytes(), pa.binary()) for k, v in plain.items()} | {"levels": pa.scalar(10), "columns": pa.scalar(1024)})
+    leaves = tree.best[tree.inner : tree.none]  # in the order of the grid's quarters
+    order = np.argsort((lexical._spread(rows) << np.uint64(1)) | lexical._spread(columns))
+    assert np.array_equal(leaves, impact[order]) and tree.best[0] == impact.max() and tree.best[-1] == 0
+
+
 def tokens(text, bpe, pieces, letters):
     a, b = bpe.encode(" " + text, add_special_tokens=False).ids, pieces.encode(text)
     bytes_a = [bytes(letters[c] for c in bpe.id_to_token(i)) for i in a]
