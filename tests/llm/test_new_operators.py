@@ -126,6 +126,14 @@ def test_op12(spark, rows, docs, monkeypatch, postings):
     assert sorted(map(tuple, found.collect()), key=str) == ranked(rows, items)
 
 
+def test_op12_result_batches(spark, rows, docs, monkeypatch):
+    monkeypatch.setattr(lexical, "OUT_ITEMS", 2)
+    items = [(r.item_id, r.text) for r in common.table(spark, DATA, "benchmark").collect()][:5] + [(52, "nowhere9"), (53, "nowhere9")]
+    some, every = lexical.statistics(docs)
+    found = lexical.search(lexical.build(docs, some, every), spark.createDataFrame(items, "item_id long, text string"), some)
+    assert sorted(map(tuple, found.collect()), key=str) == ranked(rows, items)
+
+
 def test_op12_empty_tables(spark, docs):
     asked = spark.createDataFrame([(1, "the")], "item_id long, text string")
     assert lexical.search(lexical.build(docs.limit(0), 0, 0), asked, 0).count() == 0
