@@ -1,7 +1,10 @@
 """Cases by hand of the verdicts on motion, levels, capabilities, pressure, and of changeovers."""
 
 import math
+import random
+import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from orbitloom.functions import gnsstime
@@ -144,6 +147,39 @@ def test_silent_neighbours_make_no_rows(spark):
     assert most < 20_000
 
 
+def test_neighbours_make_no_pairs(spark, monkeypatch):
+    """Stations of several cubes, some at the radius exactly, some samples at one time: as by brute force, and no node of the plan puts out the pairs."""
+    monkeypatch.setattr(pressure, "BITS", 64)
+    rng = random.Random(3)
+    where = {s: (1e4 * rng.randrange(-6, 7), 1e4 * rng.randrange(-2, 3), 5e3 * rng.randrange(2)) for s in range(60)}
+    rows = [(i % 60, i, float(rng.randrange(0, 40_000, 10)), 1e5 + rng.randrange(9), 4.0 + i % 3) for i in range(1500)] + [(70, 2000, 0.0, 1e5, 5.0), (70, 2001, 600.0, 1e5, 5.0), (None, 2002, 600.0, 1e5, 5.0), (3, 2003, None, 1e5, 5.0)]
+    samples = at(spark, rows, "station int, seq long, time timestamp, pascal double, sigma double")
+    places = spark.createDataFrame([(s, *p) for s, p in where.items()], "station int, x double, y double, z double")
+    context = pressure.regional(samples, places, 600, 500, 2e4, 700, 2)
+
+    known = [r for r in rows if r[0] is not None and r[2] is not None]
+    began, after = {}, {}
+    for s, i, t, p, e in known:
+        old = min(((abs(t - 600 - u), j, u, q, f) for r, j, u, q, f in known if r == s and 100 <= t - u <= 1100), default=None)
+        if old and s in where:
+            began[i] = (s, t, old[1], old[2], math.log(p / old[3]) / (t - old[2]), math.hypot(old[4] / old[3], e / p) / (t - old[2]))
+        after[i] = min(((u, j) for r, j, u, _, _ in known if r == s and (u, j) > (t, i)), default=(math.inf, 0))[0]
+    want = {}
+    for i, (s, t, start, began_at, rate, _) in began.items():
+        met = [(r, e, t - u, math.dist(where[s], where[o])) for j, (o, u, _, b, r, e) in began.items() if o != s and u <= t < after[j] and t - u <= 700 and abs(b - began_at) <= 700 and math.dist(where[s], where[o]) <= 2e4]
+        middle = statistics.median(m[0] for m in met) if met else 0
+        want[i] = (start, rate, len(met), *((middle, max(abs(m[0] - middle) for m in met), *(max(m[k] for m in met) for k in (1, 2, 3))) if len(met) > 1 else [None] * 5))
+    got = {r.seq: (r.start, r.rate, r.neighbours, r.region_rate, r.region_spread, r.region_sigma, r.max_age, r.max_gap) for r in context.collect()}
+    assert got.keys() == want.keys() and len({w[2] for w in want.values()}) > 5
+    plain_row = lambda r: [-1 if v is None else v for v in r]
+    assert all(plain_row(got[i]) == pytest.approx(plain_row(w), rel=1e-9, abs=1e-15) for i, w in want.items())
+    crowd = at(spark, [(i % 300, i, 60.0 * (i // 300), 1e5 + i % 7, 5.0) for i in range(6000)], "station int, seq long, time timestamp, pascal double, sigma double")
+    one = spark.range(300).selectExpr("int(id) as station", "0d as x", "0d as y", "0d as z")
+    packed = pressure.regional(crowd, one, 600, 60, 1e4, 600, 2)
+    assert {r.neighbours for r in packed.collect()} == {299}
+    assert max(m.value() for m in _row_counts(packed)) < 30_000  # the pairs are 1.5 million
+
+
 def _row_counts(df):
     """Rows that each node of a query has put out."""
     df.collect()
