@@ -42,6 +42,12 @@ def test_grants_make_no_pair_twice(spark):
     assert "Aggregate" not in plan and plan.count("Join Inner") == 2
 
 
+def test_pairs_of_grants_are_made_by_many_tasks(spark):
+    """One small file of observations: its pairs are not left to the task or two that read it."""
+    found = catalog.QUERIES["j14_export_grants"](spark, "/root/testdata/sf0.01")
+    assert found.rdd.getNumPartitions() >= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_neighbours_shuffle_no_pairs(spark, monkeypatch):
     """A full cube dealt to several groups, equal gaps and repeated ids: as by brute force, without a join or window of pairs."""
     monkeypatch.setattr(joins, "OWN", 8)
