@@ -455,6 +455,23 @@ def test_op8(spark, docs, odd):
     assert sum(g[4] for g in got if g[4] is not None) < 0
 
 
+def test_exchange_ends_where_no_move_helps():
+    """No unit alone can move to a class that makes the class bigrams likelier; noise needs more than four rounds."""
+    bigrams = np.random.default_rng(1).integers(0, 30, (150, 150)).astype(float)
+    f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+
+    def likelihood(of):
+        member = np.eye(6)[of]
+        table = member.T @ bigrams @ member
+        return f(table) - f(table.sum(0)) - f(table.sum(1))
+
+    of = brown.exchange(bigrams, 6)
+    best = likelihood(of)
+    assert max(likelihood(np.where(np.arange(150) == u, c, of)) for u in range(150) for c in range(6)) <= best + 1e-4
+    assert (brown.exchange(np.zeros((4, 4)), 2) == [0, 1, 0, 1]).all()
+
+
+
 def test_op8_classes_help(spark):
     """Held-out texts are likelier under the classes than word by word."""
     got = queries.QUERIES["op8_brown"](spark, DATA).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
